@@ -64,7 +64,10 @@ def plan_bytes(df: DataFrame) -> int:
 def pieces(df: DataFrame, target: int = 64 << 20, estimate: int | None = None) -> int:
     """Partitions that hold about ``target`` bytes each, and no fewer than the session's shuffle has."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, math.ceil((plan_bytes(df) if estimate is None else estimate) / target))
+    size = plan_bytes(df) if estimate is None else estimate
+    if size >= 1 << 60:  # Catalyst does not know: measured
+        size = df.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    return max(least, math.ceil(size / target))
 
 
 def broadcast_if_small(df: DataFrame, rows: int, bound: int = 200_000) -> DataFrame:

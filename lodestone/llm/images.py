@@ -40,7 +40,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
                     at = data.index(b"\n", at)
                     continue
                 end = at
-                while not data[end : end + 1].isspace():
+                while end < len(data) and not data[end : end + 1].isspace():
                     end += 1
                 head.append(int(data[at:end]))
                 at = end

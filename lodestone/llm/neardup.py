@@ -139,11 +139,12 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> Da
     """``docs`` without near-duplicates: of each component the least doc_id stays, once; columns unchanged. Rows without an id stay."""
     found = common.written(classes(docs, k, percent, **options), "neardup-result").where("doc_id is not null")
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("neardup_n")).withColumnRenamed("doc_id", "neardup_id")
-    one = docs.join(kept, F.col("doc_id").cast("long") == F.col("neardup_id"))
+    rows = docs.select(F.struct("*").alias("neardup_row"), F.col("doc_id").cast("long").alias("neardup_doc"))
+    one = rows.join(kept, F.col("neardup_doc") == F.col("neardup_id"))
     if not kept.where("neardup_n > 1").isEmpty():
-        nth = Window.partitionBy("neardup_id").orderBy(F.xxhash64("text"))
+        nth = Window.partitionBy("neardup_id").orderBy(F.xxhash64("neardup_row.text"))
         one = one.withColumn("neardup_nth", F.row_number().over(nth)).where("neardup_nth = 1").drop("neardup_nth")
-    return one.drop("neardup_id", "neardup_n").unionByName(docs.where("doc_id is null"))
+    return one.select("neardup_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def op9_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

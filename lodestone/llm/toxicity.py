@@ -10,7 +10,7 @@ narrow map over every whole text with the few words that have weight. Before the
 likelihood-ratio statistic of (word, toxic), at a level divided by the number of words, so that words of chance get none.
 
 Severity is the expected grade, the sum over k of P(grade > k). A document is rejected if P(grade > 0) reaches
-``reject``. Nulls: a null text has no words; it, like an empty one, gets the base severity and is kept. Null labels
+``reject`` and its words weigh towards toxic, so one without known words is kept whatever the labels' base rate. Nulls: a null text has no words; it, like an empty one, gets the base severity and is kept. Null labels
 are not used. Without any label, or with only one grade, severity is 0 and nothing is rejected. Repeated ids
 are scored row by row; extra columns are ignored or, in :func:`keep_clean`, passed through.
 """
@@ -203,9 +203,11 @@ def score(docs: DataFrame, model: Model, reject: float = 0.5) -> DataFrame:
         z = _scorer(model)
         for batch in batches:
             n = batch.num_rows
-            p = model.chances(z(common.utf8(batch.column(1)))) if model.thresholds else np.zeros((n, 1))
+            s = z(common.utf8(batch.column(1)))
+            p = model.chances(s) if model.thresholds else np.zeros((n, 1))
             grade = (p >= 0.5).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(grade.astype(np.int32)), pa.array(p[:, 0] >= reject)], names=["doc_id", "severity", "p_toxic", "grade", "rejected"])
+            told = (p[:, 0] >= reject) & (s > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(grade.astype(np.int32)), pa.array(told)], names=["doc_id", "severity", "p_toxic", "grade", "rejected"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, severity double, p_toxic double, grade int, rejected boolean")
@@ -220,8 +222,8 @@ def keep_clean(docs: DataFrame, model: Model, reject: float = 0.5) -> DataFrame:
         z = _scorer(model)
         for batch in batches:
             if model.thresholds:
-                p = model.chances(z(common.utf8(batch.column(batch.schema.get_field_index("text")))))
-                batch = batch.filter(pa.array(p[:, 0] < reject))
+                s = z(common.utf8(batch.column(batch.schema.get_field_index("text"))))
+                batch = batch.filter(pa.array((model.chances(s)[:, 0] < reject) | (s <= 0)))
             yield batch
 
     docs = docs.withColumn("text", F.col("text").cast("string"))
