@@ -31,9 +31,9 @@ def literal_rows(spark: SparkSession, rows: list[list[str]], columns: list[str],
             elif types[c].startswith("struct"):
                 hi, _, lo = v.rpartition("|")
                 row[c] = (Decimal(hi or 0), Decimal(lo))
-            elif types[c] == "bigint":
+            elif types[c] in ("int", "bigint"):
                 row[c] = int(v)
-                if not 0 <= row[c] < 2**32 and c in types and types[c] == "bigint":
+                if not 0 <= row[c] < 2**32:
                     raise ConstraintError(f"{c} is out of range")
             elif types[c].startswith("decimal"):
                 row[c] = Decimal(v)

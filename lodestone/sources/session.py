@@ -4,12 +4,36 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share; a local session without it gets a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors once for each Spark context."""
     sc = spark.sparkContext
