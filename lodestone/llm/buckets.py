@@ -22,41 +22,47 @@ def _pair(x: str, nx: str, y: str, ny: str, percent: int) -> list:
     return [F.when(ok, F.least(x, y)).alias("a"), F.when(ok, F.greatest(x, y)).alias("b")]
 
 
-def components_of(keyed: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int = 0, rounds: int = 8, votes: int = 1) -> DataFrame | None:
+def components_of(keyed: DataFrame, confirm: Callable[[DataFrame, int], DataFrame], percent: int = 0, rounds: int = 4, votes: int = 1) -> DataFrame | None:
     """(id, component) of linked items; None if no two are linked.
 
-    keyed: a written table (rep, n, key), an item's size and its buckets. confirm: of pairs (a, b), those that are
+    keyed: a written table (rep, n, key), an item's size and its buckets. confirm: of so many pairs (a, b), those that are
     links. percent: pairs whose sizes differ by more need no test. votes: buckets that a pair must share to be tested.
+    Buckets whose members are all of one component leave the search; the first turn has one centre, later ones three.
     """
     n_keyed = keyed.count()
     links = comp = seen = None
+    placed = keyed.withColumn("component", F.col("rep"))
     for turn in range(rounds + 1 if n_keyed else 0):
-        placed = keyed.withColumn("component", F.col("rep"))
-        if comp is not None:
-            placed = keyed.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         last = False
         if turn:
+            if comp is not None:
+                placed = placed.drop("component").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             # How many comparisons the exhaustive step would take: members outside a bucket's main component times its members.
             parts = placed.groupBy("key", "component").count()
             main = parts.groupBy("key").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("members"), F.count("*").alias("parts")).where("parts > 1")
             main = common.written(main.select("key", F.col("m.component").alias("main"), ((F.col("members") - F.col("m.count")) * F.col("members")).alias("cost")), "buckets-open")
-            last = turn == rounds or (main.agg(F.sum("cost")).first()[0] or 0) <= 2 * n_keyed
+            cost = main.agg(F.sum("cost")).first()[0]
+            if not cost:
+                break
+            last = turn == rounds or cost <= 4 * n_keyed
+            placed = common.written(placed.drop("main").join(main.select("key", "main"), "key"), "buckets-placed")
         if last:
-            inside = placed.join(main.select("key", "main"), "key")
-            minor = inside.where("component <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-            pairs = minor.join(inside, "key").where("cx <> component").select(*_pair("x", "nx", "rep", "n", percent))
+            minor = placed.where("component <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+            pairs = minor.join(placed, "key").where("cx <> component").select(*_pair("x", "nx", "rep", "n", percent))
         else:
-            # A centre for each bucket: its least id at first, then the least under another hash each time.
-            by = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-            centre = placed.groupBy("key").agg(F.min(F.struct(by.alias("h"), "rep", "n", "component")).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-            centre = centre.select("key", F.col("c.rep").alias("x"), F.col("c.n").alias("nx"), F.col("c.component").alias("cx"))
+            # Centres of each bucket: its least id at first, then the least under other hashes.
+            by = [F.col("rep")] if turn == 0 else [F.xxhash64("rep", F.lit(3 * turn + i)) for i in range(3)]
+            centres = F.array(*[F.min(F.struct(h.alias("h"), "rep", "n", "component")) for h in by])
+            centre = placed.groupBy("key").agg(centres.alias("cs"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+            centre = centre.select("key", F.explode("cs").alias("c")).select("key", F.col("c.rep").alias("x"), F.col("c.n").alias("nx"), F.col("c.component").alias("cx"))
             pairs = placed.join(centre, "key").where("component <> cx").select(*_pair("rep", "n", "x", "nx", percent))
         pairs = pairs.where("a is not null").distinct() if votes < 2 else pairs.where("a is not null").groupBy("a", "b").count().where(F.col("count") >= votes).select("a", "b")
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = common.written(pairs, "buckets-pairs")
-        if not pairs.isEmpty():
-            found = confirm(pairs)
+        n_pairs = pairs.count()
+        if n_pairs:
+            found = confirm(pairs, n_pairs)
             links = common.written(found if links is None else links.unionByName(found), "buckets-links")
             seen = pairs if seen is None else seen.unionByName(pairs)
             comp = common.written(common.components(links), "buckets-components")

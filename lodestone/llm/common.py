@@ -183,16 +183,40 @@ def text_batches(column, limit: int = 4 << 20):
 # --- connected components -----------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _union_find(batches):
+    """Edges (u, v) in one task to (id, component)."""
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            u, v = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
+            parent[max(u, v)] = min(u, v)
+    ids = list(parent)
+    for at in range(0, len(ids), 50_000):
+        some = ids[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], names=["id", "component"])
+
+
+def components(edges: DataFrame, max_rounds: int = 60, one_task: int = 400_000) -> DataFrame:
     """(id, component): for each end of ``edges`` (a, b) the least id reachable from it.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014) until the set of edges stays the same.
+    Up to ``one_task`` distinct edges, counted first, one task joins them (a few MB). More of them go through stars:
+    alternates large-star and small-star steps (Kiveris et al. 2014) until the set of edges stays the same.
     Every step aggregates before it shuffles and ends in a table in the shared folder; the number of steps is
     logarithmic in the longest path. Null ends and loops count for nothing.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e, mark = _kept(e, "edges")
+    if mark[0] <= one_task:
+        return e.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_union_find, "id long, component long")
     for _ in range(max_rounds):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

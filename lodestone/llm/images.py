@@ -206,7 +206,7 @@ def copies(images: DataFrame, corners: int = 32, inliers: int = 8, least: int =
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     keyed = common.written(keyed.join(shared, "key"), "image-buckets")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame, n_pairs: int) -> DataFrame:
         side = lambda x: own.select(F.col("image_id").alias(x), F.col("places").alias(f"p{x}"), F.col("bits").alias(f"b{x}"))
         joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "ba", "pb", "bb")
 

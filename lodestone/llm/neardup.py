@@ -2,8 +2,8 @@
 
 For each of ``perms`` permutations of the shingles' hashes both the least and the greatest value are kept (min-max
 hashing, Ji et al. 2013): two nearly independent unbiased estimates from one evaluation. ``bands`` bands of ``rows``
-values make the buckets. At similarity 0.8 the defaults (24 bands of 5 values, 60 permutations) miss a pair with
-probability (1 - 0.8^5)^24 = 7e-5.
+values make the buckets. At similarity 0.8 the defaults (32 bands of 6 values, 96 permutations) miss a pair with
+probability (1 - 0.8^6)^32 = 6e-5.
 
 Documents with equal sets become one class first, by a plain aggregate. In each bucket every class is compared with
 a few centres of the bucket, and links found so are turned into components; members of one component need no
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import buckets, common
 
-PERMS, ROWS = 60, 5
+PERMS, ROWS = 96, 6
 
 
 def _multipliers(perms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +83,13 @@ def signatures(docs: DataFrame, k: int, perms: int = PERMS, rows: int = ROWS) ->
     return rows_in.mapInArrow(work, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union. texts: (doc_id, text), one row an id."""
-    t = texts.select("doc_id", "text")
+def confirm(pairs: DataFrame, n_pairs: int, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union. texts: (doc_id, text), one row an id.
+
+    Only texts of documents in pairs are shuffled; few such ids (by the counted pairs) are broadcast to find them.
+    """
+    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+    t = texts.select("doc_id", "text").join(common.broadcast_if_small(ids, 2 * n_pairs, 400_000), "doc_id", "left_semi")
     joined = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def work(batches):
@@ -113,7 +117,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return joined.mapInArrow(work, "a long, b long")
 
 
-def classes(docs: DataFrame, k: int, percent: int = 80, perms: int = PERMS, rows: int = ROWS, rounds: int = 8) -> DataFrame:
+def classes(docs: DataFrame, k: int, percent: int = 80, perms: int = PERMS, rows: int = ROWS, rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     sig = common.written(signatures(docs, k, perms, rows), "neardup-signatures")
     same = ["n_shingles", "set_a", "set_b"]
@@ -126,7 +130,7 @@ def classes(docs: DataFrame, k: int, percent: int = 80, perms: int = PERMS, rows
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     keyed = common.written(keyed.join(shared, "key"), "neardup-buckets")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    comp = buckets.components_of(keyed, lambda pairs: confirm(pairs, texts, k, percent), percent, rounds)
+    comp = buckets.components_of(keyed, lambda pairs, n_pairs: confirm(pairs, n_pairs, texts, k, percent), percent, rounds)
     members = sig.join(reps, same, "left")
     if comp is not None:
         members = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
