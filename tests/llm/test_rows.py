@@ -180,7 +180,7 @@ def test_mix_of_odd_documents(spark, odd, none):
 
 
 def test_toxicity_on_held_out_documents(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
     train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
     got = toxicity.score(docs, toxicity.fit(docs, train)).join(test, "doc_id").collect()
