@@ -4,8 +4,10 @@ Pages are read as sequences of tokens: the tag path of every text block, and the
 whose occurrence vectors over its pages are equal form an equivalence class (Arasu and Garcia-Molina 2003). A vector
 is held as the sum over distinct page contents of hash(page) * count, so classes come from one aggregate and a host
 may hold any share of the pages; copies of one page count once. A class is valid if it occurs in at least ``share`` of
-the host's distinct contents and in at least ``least`` of them. The path classes nest by prefix into the
-template; valid text tokens are its fixed parts, all other blocks fill its slots.
+the host's distinct contents and in at least ``least`` of them, and has at least ``members`` tokens. The root of the
+template is made of the widest valid class that stands once on a page: the most of its tokens that keep one order on all
+pages. A text token of a valid class nests in the template if it stands in one gap of the root, the same on all pages.
+Nested text tokens are the template's fixed parts, all other blocks fill its slots.
 
 What is extracted: blocks under ``article`` (else ``main``, else any slot of the template), never those under
 navigation, header, footer, aside, form, script or style elements, or under elements whose class or id names
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html as _html
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,37 +128,89 @@ def _content(page: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
     return []
 
 
-def deduce(pages: DataFrame, share: float = 0.5, least: int = 4) -> DataFrame:
-    """(host, token): the valid text tokens of each host's template; at most blocks-a-page / share of them for a host."""
+def _before(orders):
+    """One row: the tokens, sorted, and for each two of them whether the one stands before the other in all ``orders``."""
+    import pandas as pd
+
+    tokens = np.sort(orders["tokens"].iloc[0])
+    before = np.ones((len(tokens), len(tokens)), bool)
+    for order in orders["tokens"]:
+        place = np.empty(len(tokens), np.int64)
+        place[np.searchsorted(tokens, order)] = np.arange(len(tokens))
+        before &= place[:, None] < place[None, :]
+    return pd.DataFrame({"host": [orders["host"].iloc[0]], "tokens": [tokens], "before": [np.packbits(before).tobytes()]})
+
+
+def _chain(parts):
+    """The longest chain of tokens that stand in one order everywhere."""
+    import pandas as pd
+
+    tokens = parts["tokens"].iloc[0]
+    n = len(tokens)
+    before = np.ones(n * n, bool)
+    for b in parts["before"]:
+        before &= np.unpackbits(np.frombuffer(b, np.uint8), count=n * n).astype(bool)
+    before = before.reshape(n, n)
+    length, last = np.ones(n, np.int64), np.full(n, -1)
+    for i in np.argsort(before.sum(0), kind="stable"):  # who stands before others has fewer before it
+        if (earlier := np.flatnonzero(before[:, i])).size:
+            last[i] = earlier[length[earlier].argmax()]
+            length[i] = length[last[i]] + 1
+    some, i = [], int(length.argmax())
+    while i >= 0:
+        some.append(tokens[i])
+        i = int(last[i])
+    return pd.DataFrame({"host": parts["host"].iloc[0], "token": some})
+
+
+def deduce(pages: DataFrame, share: float = 0.5, least: int = 4, members: int = 2) -> DataFrame:
+    """(host, token): the text tokens of each host's template; at most blocks-a-page / share of them for a host."""
 
     def work(batches):
         import pyarrow as pa
 
         for batch in batches:
-            hosts, marks, tokens, counts, texts = [], [], [], [], []
+            out = {k: [] for k in ("host", "page", "token", "is_text", "n", "first", "last")}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = blocks(page)
                 if any(b[1] in ("article", "main") for b in found):
                     # The page's own markup names its slot: its fixed parts lie outside and count by path alone.
                     found = [b for b in found if b[1] not in ("article", "main")]
-                whole = _mark(*(b[2] for b in found), page if len(found) < 2 else "")
-                seen: dict[tuple[bool, int], int] = {}
-                for path, _, text in found:
-                    for k in ((False, _mark(path)), (True, _mark(path, text))):
-                        seen[k] = seen.get(k, 0) + 1
-                for (is_text, token), count in seen.items():
-                    hosts.append(host), marks.append(whole), tokens.append(token), counts.append(count), texts.append(is_text)
-            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "page": pa.array(marks, pa.int64()), "token": pa.array(tokens, pa.int64()), "n": pa.array(counts, pa.int32()), "is_text": pa.array(texts, pa.bool_())})
-
-    rows = pages.select(F.coalesce("host", F.lit("")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(work, "host string, page long, token long, n int, is_text boolean")
-    rows = rows.groupBy("host", "page", "token", "is_text").agg(F.max("n").alias("n"))
-    total = rows.groupBy("host").agg(F.approx_count_distinct("page", 0.02).alias("pages"))
+                whole = _mark(*(x for b in found for x in (b[0], b[2])), page if len(found) < 2 else "")
+                seen: dict[tuple[bool, int], list[int]] = {}
+                for i, (path, _, text) in enumerate(found):
+                    for at, k in ((2 * i, (False, _mark(path))), (2 * i + 1, (True, _mark(path, text)))):
+                        seen.setdefault(k, []).append(at)
+                for (is_text, token), at in seen.items():
+                    for k, x in zip(out, (host, whole, token, is_text, len(at), at[0], at[-1])):
+                        out[k].append(x)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
+
+    rows = pages.select(F.coalesce("host", F.lit("")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(work, "host string, page long, token long, is_text boolean, n int, first int, last int")
+    rows = common.written(rows.groupBy("host", "page", "token", "is_text").agg(F.max("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")), "html-tokens")
+    total = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    small = lambda df, name: common.broadcast_if_small(df := common.written(df, name), df.count(), 20_000)
     vector = F.sum(F.xxhash64("page").cast("decimal(38,0)") * F.col("n"))
-    tokens = rows.groupBy("host", "token", "is_text").agg(vector.alias("vector"), F.count("*").alias("pages_with"))
-    # Equal vectors: one class. A class is valid by its support, and its texts need a path of the same class or a wider one.
-    classes = tokens.groupBy("host", "vector", "pages_with").agg(F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("texts"))
-    valid = classes.join(total, "host").where((F.col("pages_with") >= least) & (F.col("pages_with") >= share * F.col("pages")))
-    return valid.select("host", F.explode("texts").alias("token"))
+    tokens = rows.groupBy("host", "token", "is_text").agg(vector.alias("vector"), F.count("*").alias("pages_with"), F.max("n").alias("most")).where(F.col("pages_with") >= least)
+    tokens = common.written(tokens.join(small(total, "html-totals"), "host").where(F.col("pages_with") >= share * F.col("pages")), "html-frequent")
+    # Equal vectors: one class. One token alone is no class: a frequent text may be a slot's value.
+    key = ["host", "vector", "pages_with"]
+    classes = tokens.groupBy(*key).agg(F.count("*").alias("members"), F.max("most").alias("most")).where(F.col("members") >= members)
+    classes = common.written(classes, "html-classes")
+    placed = rows.join(small(tokens.join(classes.select(*key), key).select("host", "token", "is_text", "vector", "pages_with"), "html-candidates"), ["host", "token", "is_text"])
+    # The root: of the widest class that stands once on a page, the most tokens that keep one order on all pages. All
+    # tokens nest in it: each in one gap between the root's tokens, the same on all pages.
+    root = classes.where("most = 1").groupBy("host").agg(F.max(F.struct("pages_with", "members", "vector")).alias("r")).select("host", "r.vector", "r.pages_with")
+    anchors = common.written(placed.join(small(root, "html-roots"), key).select("host", "page", "token", "first"), "html-anchors")
+    orders = anchors.groupBy("host", "page").agg(F.array_sort(F.collect_list(F.struct("first", "token"))).alias("o")).select("host", F.transform("o", lambda x: x.token).alias("tokens")).distinct()
+    part = orders.withColumn("part", F.pmod(F.xxhash64("tokens"), F.lit(64))).groupBy("host", "part").applyInPandas(_before, "host string, tokens array<long>, before binary")
+    chain = small(part.groupBy("host").applyInPandas(_chain, "host string, token long"), "html-chains")
+    at = anchors.join(chain, ["host", "token"]).groupBy("host", "page").agg(F.collect_list("first").alias("at"))
+    gap = lambda c: F.when(F.col("at").isNotNull(), F.size(F.filter("at", lambda p: p < F.col(c))))
+    texts = placed.where("is_text").join(at, ["host", "page"], "left")
+    nested = texts.groupBy("host", "token").agg(F.min(gap("first")).alias("low"), F.max(gap("last")).alias("high"))
+    return nested.where("low is null or low = high").select("host", "token")
 
 
 def extract(pages: DataFrame, share: float = 0.5, least: int = 4) -> DataFrame:

@@ -217,3 +217,12 @@ def test_toxicity_of_odd_documents(spark, odd, none, sf_dir):
     empty = toxicity.fit(odd, labels.limit(0))
     assert toxicity.keep_clean(odd, empty).count() == odd.count()
     assert toxicity.fit(none, labels).thresholds == []
+
+
+def test_one_frequent_value_is_no_template(spark):
+    rows = [(i, f"http://v.example.net/{i}", f"<div>Welcome to us</div><p>{'Yes' if i % 3 else 'No'}</p><p>story {i}</p><div>All rights</div>") for i in range(12)]
+    moved = [f"<div>Top</div>{'<p>Moves</p>' if i % 2 else ''}<p>story {i}</p><div>Middle</div><div>Next</div>{'' if i % 2 else '<p>Moves</p>'}<p>more {i}</p><div>End</div>" for i in range(12)]
+    rows += [(100 + i, f"http://m.example.net/{i}", h) for i, h in enumerate(moved)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{'Yes' if i % 3 else 'No'} story {i}" for i in range(12))
+    assert all("Moves" in got[100 + i] and "Top" not in got[100 + i] and "End" not in got[100 + i] for i in range(12))
