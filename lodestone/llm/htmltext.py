@@ -11,7 +11,8 @@ Nested text tokens are the template's fixed parts, all other blocks fill its slo
 
 What is extracted: blocks under ``article`` (else ``main``, else any slot of the template), never those under
 navigation, header, footer, aside, form, script or style elements, or under elements whose class or id names
-a menu, sidebar, notice, advert or reader comment. Text inside an ``article`` or ``main`` element is content
+as a whole a menu, sidebar, notice, advert or reader comment. An ``article`` or ``main`` in such an element, outside any other
+article, is taken if the page has none elsewhere, unless it is hidden. Text inside an ``article`` or ``main`` element is content
 even if pages share it. Character references are decoded, white space inside a block becomes one space, blocks are
 joined by one space. Null html: empty text. Null or malformed urls form a host of their own. Repeated rows are extracted
 each; extra columns are ignored. Unclosed and stray tags are tolerated.
@@ -32,15 +33,32 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*[\"'][^\"']*display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_SLOT = re.compile(r"<(?:article|main)\b", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object", "math"}
 _VOID = {"area", "base", "col", "embed", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 _DROP = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button"}
 _DROP_WORDS = set("ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr nav navbar navigation menu sidebar side footer header masthead breadcrumb breadcrumbs comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager skip".split())
+#: Words that say where a dropped part stands or what holds it: 'site-header' and 'cookie-bar' are dropped, 'has-sidebar' and 'related-work' are not.
+_PLACE_WORDS = set("site page global top bottom left right inner outer upper lower primary secondary main wrap wrapper box bar container area section block list item items link links button buttons menus content text title body form panel slot unit zone icon icons to x y z a b c".split())
+#: A class name that ends in one of these is dropped whatever stands before it, but for a word of layout.
+_DROP_ENDS = set("ads advert adverts advertisement cookies gdpr navbar navigation sidebar breadcrumb breadcrumbs comments replies disqus newsletter popup pagination pager".split())
+_LAYOUT_WORDS = set("has with without no is layout body page column columns col".split())
+#: Areas by which a page names its own content.
+_NAMED_SLOTS = ("article", "main", "inner")
 #: These end at the next block of their kind without an end tag.
 _LOOSE = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "thead", "tbody"}
 
 
+def _furniture(name: str) -> bool:
+    """Whether a whole class name, id or role names furniture: all its parts do, or say only where it stands."""
+    words = _WORDS.findall(_CAMEL.sub("-", name).lower())
+    if not words or _DROP_WORDS.isdisjoint(words):
+        return False
+    return all(w in _DROP_WORDS or w in _PLACE_WORDS for w in words) or words[-1] in _DROP_ENDS and _LAYOUT_WORDS.isdisjoint(words)
+
+
 def _unwanted(tag: str, attrs: str) -> bool:
     if tag in _DROP:
         return True
@@ -48,11 +66,11 @@ def _unwanted(tag: str, attrs: str) -> bool:
         return False
     if _HIDDEN.search(attrs):
         return True
-    return any(not _DROP_WORDS.isdisjoint(_WORDS.findall("".join(m).lower())) for m in _NAMED.findall(attrs))
+    return any(_furniture(name) for m in _NAMED.findall(attrs) for name in "".join(m).split())
 
 
 def blocks(page: str | None) -> list[tuple[str, str, str]]:
-    """(path, area, text) of each non-empty block in page order; area: article, main, drop or "" (elsewhere)."""
+    """(path, area, text) of each non-empty block in page order; area: article, main, inner (article or main in a dropped element), drop or "" (elsewhere)."""
     page = page or ""
     out: list[tuple[str, str, str]] = []
     stack: list[tuple[str, str]] = []  # (tag, area) of open elements that hold blocks
@@ -60,7 +78,8 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
     loose: tuple[str, bool] | None = None
 
     def area() -> str:
-        return "drop" if loose and loose[1] else stack[-1][1] if stack else ""
+        here = "drop" if loose and loose[1] else stack[-1][1] if stack else ""
+        return "drop" if here == "hidden" else here
 
     def flush() -> None:
         if parts:
@@ -90,7 +109,7 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
             if not end and _unwanted(tag, attrs) and tag not in _VOID:
                 # An unwanted inline element is left out to its end tag.
                 close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else at
+                at = close.end() if close and not _SLOT.search(page, at, close.start()) else at
             continue
         if tag in ("br", "hr"):
             parts.append(" ")
@@ -107,7 +126,15 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
         elif not attrs.endswith("/"):
             loose = None
             outer = stack[-1][1] if stack else ""
-            inner = "drop" if outer == "drop" or tag not in ("html", "body", "article", "main") and _unwanted(tag, attrs) else tag if tag in ("article", "main") and outer != "article" else outer
+            if tag in ("article", "main"):
+                swallowed = outer == "drop" and not any(a == "article" for _, a in stack)
+                inner = "inner" if swallowed else outer if outer in ("article", "drop", "hidden", "inner") else tag
+            elif outer in ("drop", "hidden") or tag in ("html", "body") or not _unwanted(tag, attrs):
+                inner = outer
+            else:
+                inner = "hidden" if _HIDDEN.search(attrs) else "drop"
+            if outer == "drop" and tag not in ("html", "body", "article", "main") and _HIDDEN.search(attrs):
+                inner = "hidden"
             stack.append((tag, inner))
     flush()
     return out
@@ -121,7 +148,7 @@ def _mark(*x) -> int:
 
 def _content(page: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
     """The blocks of the innermost kind of content area that the page has."""
-    for kind in ("article", "main", ""):
+    for kind in ("article", "main", "inner", ""):
         some = [b for b in page if b[1] == kind]
         if some:
             return some
@@ -173,9 +200,9 @@ def deduce(pages: DataFrame, share: float = 0.5, least: int = 4, members: int =
             out = {k: [] for k in ("host", "page", "token", "is_text", "n", "first", "last")}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = blocks(page)
-                if any(b[1] in ("article", "main") for b in found):
+                if any(b[1] in _NAMED_SLOTS for b in found):
                     # The page's own markup names its slot: its fixed parts lie outside and count by path alone.
-                    found = [b for b in found if b[1] not in ("article", "main")]
+                    found = [b for b in found if b[1] not in _NAMED_SLOTS]
                 whole = _mark(*(x for b in found for x in (b[0], b[2])), page if len(found) < 2 else "")
                 seen: dict[tuple[bool, int], list[int]] = {}
                 for i, (path, _, text) in enumerate(found):

@@ -226,3 +226,14 @@ def test_one_frequent_value_is_no_template(spark):
     got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"{'Yes' if i % 3 else 'No'} story {i}" for i in range(12))
     assert all("Moves" in got[100 + i] and "Top" not in got[100 + i] and "End" not in got[100 + i] for i in range(12))
+
+
+def test_layout_names_drop_no_article():
+    text = lambda h: " ".join(b[2] for b in htmltext._content(htmltext.blocks(h)))
+    for name in ("site has-sidebar", "with-header", "page-with-sidebar", "widget", "sidebar", "site-header"):
+        assert text(f"<div class='{name}'><p>x</p><article><p>one</p></article></div>") == "one", name
+    assert text("<form id='aspnetForm'><main><p>one</p></main></form>") == text("<a class='related'><article><p>one</p></article></a>") == "one"
+    assert text("<article><div class='side-by-side'><p>a</p></div><section id='related-work'><p>b</p></section><div class='post-comments'><article><p>no</p></article></div></article>") == "a b"
+    assert text("<article><p>a</p></article><div class='related-box'><article><p>teaser</p></article></div>") == "a"
+    assert text("<div hidden><article><p>no</p></article></div><p>b</p>") == "b"
+    assert text("<div class='mainNav sidebar-left'><p>no</p></div><div class='cookie-bar'><p>no</p></div><p class=ad>no</p><p>b</p>") == "b"
