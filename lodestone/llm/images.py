@@ -7,8 +7,8 @@ agree in two entries of the tables are candidates, and a pair is a link if at le
 turn, scale and shift (a vote, then a count). Equal pixels become one class first. Candidates go through
 :mod:`.buckets`, so a common patch or a large group of copies makes no square number of pairs.
 
-Null, empty or unreadable images have no corners and link with nothing; images without contrast as well. Repeated
-ids with equal bytes share a class; extra columns are ignored. Ties: the least id stands for its class.
+Null, empty or unreadable images have no corners and link with nothing; images of one gray level as well. Others with few
+corners link with equal pixels only. Repeated ids with equal bytes share a class; extra columns are ignored. Ties: the least id stands for its class.
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ def agree(p: np.ndarray, a: np.ndarray, q: np.ndarray, b: np.ndarray, bits: int
 
 
 def features(images: DataFrame, corners: int = 32) -> DataFrame:
-    """image_id, pixels (hash of the decoded image), n (corners), places, bits; narrow."""
+    """image_id, pixels (hash of the decoded image; null without contrast), n (corners), places, bits; narrow."""
 
     def work(batches):
         import hashlib
@@ -188,7 +188,8 @@ def features(images: DataFrame, corners: int = 32) -> DataFrame:
                 for data in part.column(1).to_pylist():
                     x = decode(data)
                     p, b = describe(x, corners)
-                    pixels.append(None if x is None else hashlib.sha256(str(x.shape).encode() + x.astype("<f4").tobytes()).digest()[:16])
+                    flat = x is None or not x.size or x.max() == x.min()
+                    pixels.append(None if flat else hashlib.sha256(str(x.shape).encode() + x.astype("<f4").tobytes()).digest()[:16])
                     n.append(len(p)), places.append(p.ravel().astype(np.float32)), bits.append(b.ravel().astype(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pixels, pa.binary()), pa.array(n, pa.int64()), pa.array(places, pa.list_(pa.float32())), pa.array(bits, pa.list_(pa.int64()))], names=["image_id", "pixels", "n", "places", "bits"])
 
@@ -196,11 +197,11 @@ def features(images: DataFrame, corners: int = 32) -> DataFrame:
 
 
 def copies(images: DataFrame, corners: int = 32, inliers: int = 8, least: int = 6) -> DataFrame:
-    """image_id, n_corners, component_id of every row of ``images`` (image_id, content). ``least``: corners that an image needs to be searched."""
+    """image_id, n_corners, component_id of every row of ``images`` (image_id, content). ``least``: corners that an image needs to be searched; equal pixels need none."""
     found = common.written(features(images, corners), "image-features")
-    reps = found.where(F.col("pixels").isNotNull() & F.col("image_id").isNotNull() & (F.col("n") >= least)).groupBy("pixels").agg(F.min("image_id").alias("rep"))
+    reps = found.where(F.col("pixels").isNotNull() & F.col("image_id").isNotNull()).groupBy("pixels").agg(F.min("image_id").alias("rep"))
     reps = common.written(reps, "image-classes")
-    own = found.join(reps.select(F.col("rep").alias("image_id"), F.col("pixels").alias("p")), "image_id").where("pixels = p").select("image_id", "n", "places", "bits")
+    own = found.join(reps.select(F.col("rep").alias("image_id"), F.col("pixels").alias("p")), "image_id").where((F.col("pixels") == F.col("p")) & (F.col("n") >= least)).select("image_id", "n", "places", "bits")
     key = F.explode(F.array_distinct(F.transform("bits", lambda b, i: F.pmod(i, F.lit(TABLES)).cast("long") * F.lit(1 << 32) + b)))
     keyed = own.select(F.col("image_id").alias("rep"), "n", key.alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")

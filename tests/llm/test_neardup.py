@@ -163,6 +163,14 @@ def test_cropped_turned_and_edited_copies(spark):
     assert images.copies(df.limit(0)).count() == 0
 
 
+def test_equal_pictures_with_few_corners(spark):
+    smooth = np.tile(np.linspace(0, 255, 90).astype(np.uint8), (90, 1))
+    small = picture(np.random.default_rng(3), 16)
+    rows = [(1, pgm(smooth)), (2, pgm(smooth)), (3, pgm(small)), (4, pgm(small)), (5, pgm(np.ascontiguousarray(smooth.T)))]
+    got = {r.image_id: r.component_id for r in images.copies(spark.createDataFrame(rows, "image_id long, content binary")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
 def test_png_filters():
     import struct
     import zlib
