@@ -1,7 +1,9 @@
 """Copies of images by local descriptors, with cropped and edited copies.
 
 Images come as bytes in a media column: binary PGM or PPM, or PNG (8 bits, not interlaced). Corners are found on
-several scales (Harris response, strongest ``corners`` per image), each gets an orientation by its intensity centroid
+a pyramid of scales (steps of the root of 2, down to the smallest size that holds a descriptor): by Harris response the
+strongest ``corners`` of an image and the strongest ``QUOTA`` of each square of ``CELL`` pixels, so their number grows with
+the area. Each gets an orientation by its intensity centroid
 and a descriptor of 128 binary tests at places turned by that orientation. Four tables hold 32 bits each; images that
 agree in two entries of the tables are candidates, and a pair is a link if at least ``inliers`` matched corners agree on one
 turn, scale and shift (a vote, then a count). Equal pixels become one class first. Candidates go through
@@ -13,6 +15,7 @@ corners link with equal pixels only. Repeated ids with equal bytes share a class
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from . import buckets, common
 
 BITS, RADIUS, TABLES = 128, 10, 4
+CELL, QUOTA = 64, 16
 _PAIRS = np.clip(np.random.Generator(np.random.PCG64(31)).normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 1, RADIUS - 1)
 
 
@@ -118,20 +122,38 @@ def _scaled(x: np.ndarray, by: float) -> np.ndarray:
     return (a * (1 - fx) + b * fx) * (1 - fy) + (c * (1 - fx) + d * fx) * fy
 
 
-def describe(image: np.ndarray | None, corners: int = 32, scales: tuple[float, ...] = (1.0, 1.5)) -> tuple[np.ndarray, np.ndarray]:
+def _pyramid(image: np.ndarray):
+    """(scale, image at it), two scales an octave; each octave is halved from the blurred one before it."""
+    pair = [(1.0, image), (math.sqrt(2), None)]
+    while pair:
+        pair = [(s, _scaled(image, s) if x is None and min(image.shape) / s >= 2 * RADIUS + 3 else x) for s, x in pair]
+        pair = [(s, x) for s, x in pair if x is not None and min(x.shape) >= 2 * RADIUS + 3]
+        yield from pair
+        pair = [(2 * s, _scaled(_blur(x), 2)) for s, x in pair]
+
+
+def _strongest(r: np.ndarray, ys: np.ndarray, xs: np.ndarray, n: int) -> np.ndarray:
+    """The n strongest corners and the strongest QUOTA of each cell, in order of strength."""
+    order = np.argsort(-r, kind="stable")
+    cell = (ys[order] // CELL) * (1 << 20) + xs[order] // CELL
+    by = np.argsort(cell, kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by)) - np.searchsorted(cell[by], cell[by])
+    return order[(np.arange(len(order)) < n) | (rank < QUOTA)]
+
+
+def describe(image: np.ndarray | None, corners: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """(place, bits): place rows are x, y, angle, scale in pixels of the image; bits rows are 128 tests as four uint32."""
     places, words = [], []
-    for s in scales:
-        if image is None or min(image.shape) / s < 2 * RADIUS + 3:
-            continue
-        x = _blur(_scaled(image, s) if s > 1 else image.astype(np.float32), 2)
+    for s, x in _pyramid(image.astype(np.float32)) if image is not None else ():
+        x = _blur(x, 2)
         gy, gx = np.gradient(x)
         a, b, c = _blur(gx * gx, 2), _blur(gy * gy, 2), _blur(gx * gy, 2)
         r = a * b - c * c - 0.05 * (a + b) ** 2
         core = r[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1]
         around = np.max([r[RADIUS + 1 + dy : r.shape[0] - RADIUS - 1 + dy, RADIUS + 1 + dx : r.shape[1] - RADIUS - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], 0)
         ys, xs = np.nonzero((core == around) & (core > 1e-3 * max(float(r.max()), 1.0)))
-        best = np.argsort(-core[ys, xs], kind="stable")[: max(4, int(corners / s))]
+        best = _strongest(core[ys, xs], ys, xs, max(4, int(corners / s)))
         ys, xs = ys[best] + RADIUS + 1, xs[best] + RADIUS + 1
         if not len(ys):
             continue
@@ -155,10 +177,16 @@ def agree(p: np.ndarray, a: np.ndarray, q: np.ndarray, b: np.ndarray, bits: int
     """Matched corners that agree on one turn, scale and shift from (p, a) to (q, b)."""
     if not len(p) or not len(q):
         return 0
-    far = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2)
-    i = np.arange(len(p))
-    j = far.argmin(1)
-    ok = (far[i, j] <= bits) & (far.argmin(0)[j] == i)
+    i, j = np.arange(len(p)), np.zeros(len(p), np.int64)
+    least, back, own = np.full(len(q), BITS + 1), np.zeros(len(q), np.int64), np.zeros(len(p), np.int64)
+    step = max(1, (1 << 21) // len(q))  # large images: some rows of the matrix at a time
+    for at in range(0, len(p), step):
+        far = np.bitwise_count(a[at : at + step, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
+        j[at : at + step], own[at : at + step] = far.argmin(1), far.min(1)
+        low = far.min(0)
+        better = low < least
+        least[better], back[better] = low[better], at + far.argmin(0)[better]
+    ok = (own <= bits) & (back[j] == i)
     i, j = i[ok], j[ok]
     if len(i) < 3:
         return len(i)
@@ -168,9 +196,13 @@ def agree(p: np.ndarray, a: np.ndarray, q: np.ndarray, b: np.ndarray, bits: int
     x, y = p[i, 0], p[i, 1]
     sx = q[j, 0] - (cos * x - sin * y)
     sy = q[j, 1] - (sin * x + cos * y)
-    dx = cos[:, None] * x[None] - sin[:, None] * y[None] + sx[:, None] - q[j, 0][None]
-    dy = sin[:, None] * x[None] + cos[:, None] * y[None] + sy[:, None] - q[j, 1][None]
-    return int(((dx * dx + dy * dy) <= 16 * np.maximum(1, scale)[:, None] ** 2).sum(1).max())
+    most, step = 0, max(1, (1 << 21) // len(i))
+    for at in range(0, len(i), step):
+        k = slice(at, at + step)
+        dx = cos[k, None] * x[None] - sin[k, None] * y[None] + sx[k, None] - q[j, 0][None]
+        dy = sin[k, None] * x[None] + cos[k, None] * y[None] + sy[k, None] - q[j, 1][None]
+        most = max(most, int(((dx * dx + dy * dy) <= 16 * np.maximum(1, scale[k])[:, None] ** 2).sum(1).max()))
+    return most
 
 
 def features(images: DataFrame, corners: int = 32) -> DataFrame:

@@ -171,6 +171,22 @@ def test_equal_pictures_with_few_corners(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
+def test_halves_and_crops_of_a_tenth(spark):
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for g in range(6):
+        x = np.full((400, 400), 128, np.uint8)
+        for _ in range(600):
+            (y0, x0), (h, w) = rng.integers(0, 390, 2), rng.integers(6, 40, 2)
+            x[y0 : y0 + h, x0 : x0 + w] = rng.integers(0, 256)
+        half = np.rint(x.reshape(200, 2, 200, 2).mean((1, 3))).astype(np.uint8)
+        for i, e in enumerate([x, x[37:163, 210:336], half]):
+            rows.append((g * 10 + i, pgm(np.ascontiguousarray(e))))
+            want[g * 10 + i] = g * 10
+    got = {r.image_id: r.component_id for r in images.copies(spark.createDataFrame(rows, "image_id long, content binary")).collect()}
+    assert got == want
+
+
 def test_png_filters():
     import struct
     import zlib
