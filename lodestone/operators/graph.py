@@ -6,6 +6,8 @@ folder. The start has depth 1, depths are inclusive. Siblings are ordered by nei
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,16 +25,23 @@ def steps(edges: DataFrame, expander: str = "OUTGOING", rtype: str | None = None
     return {"OUTGOING": out, "INCOMING": back, "BOTH": out.unionByName(back)}[expander]
 
 
-def bfs(edges: DataFrame, start, expander: str = "OUTGOING", rtype: str | None = None, min_depth: int = 1, max_depth: int = 10, uniqueness: str = "NODE_GLOBAL", emit=None, expand=None) -> DataFrame:
+def _vertices(hop: DataFrame) -> int:
+    return hop.select(F.col("here").alias("id")).union(hop.select("there")).distinct().count()
+
+
+def bfs(edges: DataFrame, start, expander: str = "OUTGOING", rtype: str | None = None, min_depth: int = 1, max_depth: int | None = None, uniqueness: str = "NODE_GLOBAL", emit=None, expand=None) -> DataFrame:
     """(id, depth, path) in breadth-first order. uniqueness: NODE_GLOBAL, PATH_GLOBAL (parent, type, node) or NONE.
 
+    max_depth: None goes on to the end; under NONE a cycle has no end, which is an error.
     emit, expand: conditions over (id, depth) for rows to return and to go on from; a row may be returned and not expanded.
     """
     spark = edges.sparkSession
     hop = steps(edges, expander, rtype)
     front = spark.createDataFrame([(start,)], f"id {dict(edges.dtypes)['src']}").select("id", F.lit(1).alias("depth"), F.col("id").cast("string").alias("path"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("parent"), F.lit("").alias("rtype"))
     seen = front
-    for depth in range(2, max_depth + 1):
+    # Without uniqueness, a path of more vertices than there are has been through a cycle.
+    bound = _vertices(hop) if max_depth is None and uniqueness == "NONE" else None
+    for depth in count(2) if max_depth is None else range(2, max_depth + 1):
         base = front if expand is None else front.where(expand)
         new = base.select(F.col("id").alias("here"), F.col("path").alias("before")).join(hop, "here").select(F.col("there").alias("id"), F.lit(depth).alias("depth"), F.concat("before", "arrow", F.col("there").cast("string")).alias("path"), F.col("here").alias("parent"), "rtype")
         if uniqueness != "NONE":
@@ -41,7 +50,10 @@ def bfs(edges: DataFrame, start, expander: str = "OUTGOING", rtype: str | None =
         front = _cut(new)
         if front.isEmpty():
             break
+        if bound is not None and depth > bound:
+            raise ValueError("a cycle has no end without uniqueness or max_depth")
         seen = seen.unionByName(front)
+        seen = seen if depth % 50 else _cut(seen)
     out = seen.where(F.col("depth") >= min_depth)
     return (out if emit is None else out.where(emit)).select("id", "depth", "path").orderBy("depth", "path")
 
@@ -51,17 +63,23 @@ def dfs(edges: DataFrame, start, **options) -> DataFrame:
     return bfs(edges, start, **options).orderBy("path")
 
 
-def shortest_path(edges: DataFrame, start, end, expander: str = "OUTGOING", rtype: str | None = None, max_hops: int = 50) -> DataFrame:
-    """(id, cost, path) of the cheapest way by ``weight`` (missing: no way); relaxation until no distance falls."""
+def shortest_path(edges: DataFrame, start, end, expander: str = "OUTGOING", rtype: str | None = None, max_hops: int | None = None) -> DataFrame:
+    """(id, cost, path) of the cheapest way by ``weight`` (missing: no way); relaxation until no distance falls.
+
+    An error if distances still fall after as many hops as there are vertices (a cycle of negative cost) or after ``max_hops``.
+    """
     spark = edges.sparkSession
     hop = steps(edges, expander, rtype).where("weight is not null")
     best = spark.createDataFrame([(start,)], f"id {dict(edges.dtypes)['src']}").select("id", F.lit(0.0).alias("cost"), F.col("id").cast("string").alias("path"))
     front = best
-    for _ in range(max_hops):
+    bound = _vertices(hop) if max_hops is None else max_hops
+    for hops in count(1):
         new = front.join(hop, F.col("id") == F.col("here")).groupBy("there").agg(F.min(F.struct((F.col("cost") + F.col("weight")).alias("cost"), F.concat("path", "arrow", F.col("there").cast("string")).alias("path"))).alias("m")).select(F.col("there").alias("id"), "m.cost", "m.path")
         front = _cut(new.join(best.select("id", F.col("cost").alias("old")), "id", "left").where("old is null or cost < old").drop("old"))
         if front.isEmpty():
             break
+        if hops > bound:
+            raise ValueError(f"distances still fall after {bound} hops")
         best = _cut(best.join(front.select("id"), "id", "left_anti").unionByName(front))
     return best.where(F.col("id") == end)
 
