@@ -53,7 +53,7 @@ def tokens(host, path):
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.concat(words, top, site, path_words))))
 
 
-def mine(sets: DataFrame, support: float = 0.01, confidence: float = 0.9, longest: int = 3) -> DataFrame:
+def mine(sets: DataFrame, support: float = 0.01, confidence: float = 0.9) -> DataFrame:
     """(rule_id, tokens, verdict, confidence, key) from (tokens, verdict): one row for each labelled URL."""
     from pyspark.ml.fpm import FPGrowth
 
@@ -71,7 +71,7 @@ def mine(sets: DataFrame, support: float = 0.01, confidence: float = 0.9, longes
     names = F.array(*[F.lit(t) for t, _ in kept]) if kept else F.array().cast("array<string>")
     baskets = labelled.select(F.array_intersect("items", names).alias("items")).where(F.size("items") > 1)
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).freqItemsets
-    found = common.written(found.select(F.array_sort("items").alias("items"), "freq").where(F.size("items") <= longest + 1), "url-itemsets")
+    found = common.written(found.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
     plain = found.where(~F.exists("items", lambda x: x.startswith("="))).select(F.col("items").alias("tokens"), F.col("freq").alias("seen"))
     told = found.where(F.exists("items", lambda x: x.startswith("=")) & (F.size("items") > 1))
     told = told.select(F.filter("items", lambda x: ~x.startswith("=")).alias("tokens"), F.substring(F.element_at(F.filter("items", lambda x: x.startswith("=")), 1), 2, 99).alias("verdict"), "freq")

@@ -237,3 +237,10 @@ def test_layout_names_drop_no_article():
     assert text("<article><p>a</p></article><div class='related-box'><article><p>teaser</p></article></div>") == "a"
     assert text("<div hidden><article><p>no</p></article></div><p>b</p>") == "b"
     assert text("<div class='mainNav sidebar-left'><p>no</p></div><div class='cookie-bar'><p>no</p></div><p class=ad>no</p><p>b</p>") == "b"
+
+
+def test_mined_rules_may_need_four_tokens(spark):
+    four = ["h:a", "p:x", "p:y", "p:z"]
+    sets = [(four, "block")] * 20 + [([t for t in four if t != out], "allow") for out in four] * 20
+    rules = urlrules.mine(spark.createDataFrame(sets, "tokens array<string>, verdict string")).collect()
+    assert [(r.tokens, r.verdict) for r in rules if r.verdict == "block"] == [(four, "block")]
