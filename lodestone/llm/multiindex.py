@@ -13,8 +13,8 @@ Copies (equal label and components) become one class first and count by their nu
 task; only counts and a spanning forest of each slice's links leave it, never all pairs. A pair found from either side
 counts for both ends, once.
 
-Nulls: vectors that are null, empty, zero or have null or non-finite components, and rows with a null label or of
-another length than most vectors, link with nothing. Ties: the least id is kept. Rows with a null vec_id link with
+Nulls: vectors that are null, empty, zero or have null or non-finite components, and rows with a null label,
+link with nothing. Vectors of each length have an index of their own. Ties: the least id is kept. Rows with a null vec_id link with
 nothing and are not kept. Extra columns are ignored.
 """
 
@@ -31,6 +31,8 @@ from . import common
 
 def kmeans(x: np.ndarray, k: int, steps: int = 12, seed: int = 5) -> np.ndarray:
     """Lloyd's algorithm from k rows drawn at random; empty clusters keep their centres."""
+    if not x.shape[1]:  # the first half of vectors of one component
+        return x[:1].copy()
     rng = np.random.Generator(np.random.PCG64(seed))
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(steps):
@@ -84,7 +86,7 @@ def unit(vectors: DataFrame) -> DataFrame:
     """Classes of usable vectors: label, x, rep (least id), copies, wire (the components as they came)."""
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    use = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & (F.size(x) > 1) & ~F.coalesce(bad, F.lit(True)))
+    use = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.coalesce(bad, F.lit(True)))
     # -0.0 and 0.0 are one value. Components travel in the type that they came in; workers scale them in double precision.
     kind = dict(vectors.dtypes)["embedding"]
     use = use.where(F.array_max(F.transform("x", F.abs)) > 0).select("vec_id", "label", F.transform("x", lambda v: v + F.lit(0.0)).alias("x"))
@@ -123,12 +125,18 @@ def links(vectors: DataFrame, least: float = 0.93, recall: float = 0.97, sample:
     """(classes, counts, edges): classes as :func:`unit`; counts (id, n) of links to other classes' vectors; edges (a, b)."""
     spark = vectors.sparkSession
     classes = common.written(unit(vectors), "multiindex-classes")
-    n = classes.count()
-    length = classes.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first() if n else None
-    empty = spark.createDataFrame([], "id long, n long"), spark.createDataFrame([], "a long, b long")
-    if length is None:
-        return classes, *empty
-    usable = classes.where(F.size("x") == length.n)
+    lengths = [r.n for r in classes.groupBy(F.size("x").alias("n")).count().orderBy("n").collect()]
+    counts, edges = spark.createDataFrame([], "id long, n long"), spark.createDataFrame([], "a long, b long")
+    for length in lengths:
+        c, e = _links(classes.where(F.size("x") == length), least, recall, sample, block, slice_rows)
+        counts, edges = counts.unionByName(c), edges.unionByName(e)
+    return classes, counts, edges
+
+
+def _links(usable: DataFrame, least: float, recall: float, sample: int, block: int, slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """counts and edges of the classes of one length."""
+    spark = usable.sparkSession
+    n = usable.count()
     some = _units(np.array([r.wire for r in usable.orderBy(F.xxhash64("rep")).limit(sample).select("wire").toLocalIterator()]))
     k = int(min(256, max(2, 2 ** round(math.log2(max(4, math.sqrt(n / 100)))))))
     grid = Grid(some, k, least, recall)
@@ -144,7 +152,7 @@ def links(vectors: DataFrame, least: float = 0.93, recall: float = 0.97, sample:
                 x = _units(_matrix(part.column(3)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.cell(x).astype(np.int32)), pa.array(list(np.sort(shared.value.visit(x), 1).astype(np.int32)), pa.list_(pa.int32()))], names=["label", "rep", "copies", "wire", "cell", "visits"])
 
-    placed = usable.select("label", "rep", "copies", "wire").mapInArrow(assign, f"label string, rep long, copies long, wire {dict(classes.dtypes)['wire']}, cell int, visits array<int>")
+    placed = usable.select("label", "rep", "copies", "wire").mapInArrow(assign, f"label string, rep long, copies long, wire {dict(usable.dtypes)['wire']}, cell int, visits array<int>")
     placed = common.written(placed, "multiindex-placed")
     sizes = placed.groupBy("label", "cell").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
     members = placed.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
@@ -197,7 +205,7 @@ def links(vectors: DataFrame, least: float = 0.93, recall: float = 0.97, sample:
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(verify, "kind int, a long, b long")
     found = common.written(found.where("kind = 1 or b > 0"), "multiindex-found")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("n"))
-    return classes, counts, found.where("kind = 1").select("a", "b").distinct()
+    return counts, found.where("kind = 1").select("a", "b").distinct()
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, **options) -> DataFrame:

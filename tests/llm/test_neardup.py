@@ -129,6 +129,21 @@ def test_odd_vectors(spark):
     assert multiindex.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_every_length_link(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for n, many in ((8, 30), (16, 20), (1, 6)):
+        for x in rng.standard_normal((many, n)):
+            rows += [(len(rows), x.tolist(), 1), (len(rows) + 1, (x * 2 + rng.standard_normal(n) * 0.02 * (n > 1)).tolist(), 1)]
+    want, comp = dict.fromkeys(range(len(rows)), 0), {}
+    for k in (8, 16, 1):
+        some = [r for r in rows if len(r[1]) == k]
+        n, c, _ = vectors_brute(some)
+        want, comp = want | n, comp | c
+    got = {r.vec_id: (r.n_links, r.component_id) for r in multiindex.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (want[i], comp[i]) for i in want}
+
+
 def picture(rng, n=96):
     x = np.full((n, n), 128.0)
     for _ in range(40):
