@@ -5,12 +5,10 @@ hashing, Ji et al. 2013): two nearly independent unbiased estimates from one eva
 values make the buckets. At similarity 0.8 the defaults (32 bands of 6 values, 96 permutations) miss a pair with
 probability (1 - 0.8^6)^32 = 6e-5.
 
-Documents with equal sets become one class first, by a plain aggregate. In each bucket every class is compared with
-a few centres of the bucket, and links found so are turned into components; members of one component need no
-comparison with each other, because only components are asked for. What then still shares a bucket across
-components is compared in full, so nothing is capped: a bucket of any size costs its rows times the number of
-centres, plus its members outside the bucket's main component. Every link is confirmed on the full sets, which are
-built again from the joined texts, so that sets never cross the network.
+Documents with equal sets become one class first, by a plain aggregate. Classes that share a bucket are compared in
+blocks (:mod:`.buckets`): a block's texts come together in one task, which builds their full sets again, counts the
+intersections of all of them at once and gives back a spanning forest of the links. So each link is confirmed on full
+sets, the texts of documents without a partner never move, and no bucket is capped.
 
 Nulls: a text that is null or has no words has an empty set and links with nothing. Null ids are left out of
 classes and come back as their own component (null). Repeated ids with equal texts share a class. Ties: the least
@@ -83,41 +81,48 @@ def signatures(docs: DataFrame, k: int, perms: int = PERMS, rows: int = ROWS) ->
     return rows_in.mapInArrow(work, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def confirm(pairs: DataFrame, n_pairs: int, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union. texts: (doc_id, text), one row an id.
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left set with every right set, as the product of their incidence matrices."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sizes = [len(s) for s in (*left, *right)]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    value, column, times = np.unique(np.concatenate((*left, *right)), return_inverse=True, return_counts=True)
+    # A shingle of one set alone is in no intersection.
+    some = times[column] > 1
+    row, column = row[some], np.cumsum(times > 1)[column[some]] - 1
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        s, e = np.searchsorted(column, (first, first + columns))
+        m = np.zeros((len(sizes), min(columns, int(column[-1]) + 1 - first)), np.float32)
+        m[row[s:e], column[s:e] - first] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
 
-    Only texts of documents in pairs are shuffled; few such ids (by the counted pairs) are broadcast to find them.
-    """
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    t = texts.select("doc_id", "text").join(common.broadcast_if_small(ids, 2 * n_pairs, 400_000), "doc_id", "left_semi")
-    joined = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
-    def work(batches):
-        import pyarrow as pa
+def linked(k: int, percent: int):
+    """Verifies blocks of texts: places of left and right items whose sets have 100 * intersection >= percent * union."""
 
-        last: tuple[bytes, np.ndarray] | None = None
-        for batch in batches:
-            a, b, ta, tb = batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.utf8(batch.column(2)), common.utf8(batch.column(3))
-            for i, j in common.text_batches([x + y for x, y in zip(ta, tb)], 4 << 20):
-                distinct = list(dict.fromkeys(ta[i:j] + tb[i:j]))
-                sets = dict(zip(distinct, common.shingle_sets(distinct, k)))
-                keep = []
-                for n in range(i, j):
-                    x, y = sets[ta[n]], sets[tb[n]]
-                    small, large = (x, y) if len(x) <= len(y) else (y, x)
-                    if 100 * len(small) < percent * len(large) or not len(small):
-                        continue
-                    at = np.searchsorted(large, small)
-                    at[at == len(large)] = 0
-                    both = int(np.count_nonzero(large[at] == small))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        keep.append(n)
-                yield pa.RecordBatch.from_arrays([pa.array([a[n] for n in keep], pa.int64()), pa.array([b[n] for n in keep], pa.int64())], names=["a", "b"])
-
-    return joined.mapInArrow(work, "a long, b long")
-
-
-def classes(docs: DataFrame, k: int, percent: int = 80, perms: int = PERMS, rows: int = ROWS, rounds: int = 4) -> DataFrame:
+    def verify(blocks):
+        texts = list(dict.fromkeys(t for _, _, ts in blocks for t in ts))
+        sets: dict[bytes, np.ndarray] = {}
+        for a, b in common.text_batches(texts, 4 << 20):
+            sets.update(zip(texts[a:b], common.shingle_sets(texts[a:b], k)))
+        for is_left, is_right, ts in blocks:
+            p, q = np.flatnonzero(is_left), np.flatnonzero(is_right)
+            if not len(p) or not len(q):
+                yield p[:0], q[:0]
+                continue
+            x, y = [sets[ts[i]] for i in p], [sets[ts[i]] for i in q]
+            both = overlaps(x, y)
+            nx, ny = np.array([len(s) for s in x])[:, None], np.array([len(s) for s in y])[None]
+            i, j = np.nonzero((100 * both >= percent * (nx + ny - both)) & (both > 0) & (p[:, None] != q[None]))
+            yield p[i], q[j]
+
+    return verify
+
+
+def classes(docs: DataFrame, k: int, percent: int = 80, perms: int = PERMS, rows: int = ROWS, **options) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     sig = common.written(signatures(docs, k, perms, rows), "neardup-signatures")
     same = ["n_shingles", "set_a", "set_b"]
@@ -126,11 +131,9 @@ def classes(docs: DataFrame, k: int, percent: int = 80, perms: int = PERMS, rows
     reps = common.written(reps, "neardup-classes")
     banded = reps.select("rep", *same).join(sig.select(F.col("doc_id").alias("rep"), *same, "bands"), ["rep", *same])
     keyed = banded.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    # Only buckets of two or more classes matter; most keys have one.
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    keyed = common.written(keyed.join(shared, "key"), "neardup-buckets")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    comp = buckets.components_of(keyed, lambda pairs, n_pairs: confirm(pairs, n_pairs, texts, k, percent), percent, rounds)
+    keyed = buckets.distinct_buckets(common.written(keyed, "neardup-keys"))
+    payload = docs.select(F.col("doc_id").cast("long").alias("rep"), F.encode(F.col("text").cast("string"), "utf-8").alias("payload"))
+    comp = buckets.components_of(keyed, payload, linked(k, percent), **options)
     members = sig.join(reps, same, "left")
     if comp is not None:
         members = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
