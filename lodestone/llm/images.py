@@ -3,11 +3,12 @@
 Images come as bytes in a media column: binary PGM or PPM, or PNG (8 bits, not interlaced). Corners are found on
 a pyramid of scales (steps of the root of 2, down to the smallest size that holds a descriptor): by Harris response the
 strongest ``corners`` of an image and the strongest ``QUOTA`` of each square of ``CELL`` pixels, so their number grows with
-the area. Each gets an orientation by its intensity centroid
-and a descriptor of 128 binary tests at places turned by that orientation. Four tables hold 32 bits each; images that
-agree in two entries of the tables are candidates, and a pair is a link if at least ``inliers`` matched corners agree on one
-turn, scale and shift (a vote, then a count). Equal pixels become one class first. Candidates go through
-:mod:`.buckets`, so a common patch or a large group of copies makes no square number of pairs.
+the area. Each gets an orientation by its intensity centroid and a descriptor of 128 binary tests at places turned by
+that orientation. Four tables hold 32 bits each; images that agree in one table at two neighbouring corners, and in
+``votes`` entries at least, are candidates. A pair is a link if at least ``inliers`` matched corners agree on one turn,
+scale and shift (a vote, then a count). Equal pixels become one class first. Candidates are verified in the blocks of
+:mod:`.buckets`, most common entries first and only where no link joins them yet, so a common patch or a large group
+of copies makes no square number of rows.
 
 Null, empty or unreadable images have no corners and link with nothing; images of one gray level as well. Others with few
 corners link with equal pixels only. Repeated ids with equal bytes share a class; extra columns are ignored. Ties: the least id stands for its class.
@@ -62,7 +63,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
 
 
 def _png(data: bytes) -> np.ndarray | None:
-    at, body, palette = 8, b"", None
+    at, body, palette, colour = 8, [], None, None
     while at < len(data):
         n, kind = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + n]
@@ -74,9 +75,11 @@ def _png(data: bytes) -> np.ndarray | None:
         elif kind == b"PLTE":
             palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
-            body += part
+            body.append(part)
+    if colour is None or colour == 3 and palette is None:
+        return None
     c = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, w * c + 1)
+    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, w * c + 1)
     out = np.zeros((h + 1, w * c + c), np.int32)
     for y in range(h):
         f, line, up = raw[y, 0], raw[y, 1:].astype(np.int32), out[y, c:]
@@ -205,8 +208,12 @@ def agree(p: np.ndarray, a: np.ndarray, q: np.ndarray, b: np.ndarray, bits: int
     return most
 
 
+#: One corner: x, y, angle and scale, and the 128 tests.
+CORNER = np.dtype([("place", "<f4", 4), ("bits", "<u4", TABLES)])
+
+
 def features(images: DataFrame, corners: int = 32) -> DataFrame:
-    """image_id, pixels (hash of the decoded image; null without contrast), n (corners), places, bits; narrow."""
+    """image_id, pixels (hash of the decoded image; null without contrast), n (corners), corners (as ``CORNER``); narrow."""
 
     def work(batches):
         import hashlib
@@ -214,46 +221,119 @@ def features(images: DataFrame, corners: int = 32) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                pixels, n, places, bits = [], [], [], []
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                pixels, n, found = [], [], []
                 for data in part.column(1).to_pylist():
                     x = decode(data)
                     p, b = describe(x, corners)
                     flat = x is None or not x.size or x.max() == x.min()
                     pixels.append(None if flat else hashlib.sha256(str(x.shape).encode() + x.astype("<f4").tobytes()).digest()[:16])
-                    n.append(len(p)), places.append(p.ravel().astype(np.float32)), bits.append(b.ravel().astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pixels, pa.binary()), pa.array(n, pa.int64()), pa.array(places, pa.list_(pa.float32())), pa.array(bits, pa.list_(pa.int64()))], names=["image_id", "pixels", "n", "places", "bits"])
+                    row = np.empty(len(p), CORNER)
+                    row["place"], row["bits"] = p, b
+                    n.append(len(p)), found.append(row.tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pixels, pa.binary()), pa.array(n, pa.int64()), pa.array(found, pa.binary())], names=["image_id", "pixels", "n", "corners"])
 
-    return images.select(F.col("image_id").cast("long").alias("image_id"), "content").mapInArrow(work, "image_id long, pixels binary, n long, places array<float>, bits array<long>")
+    return images.select(F.col("image_id").cast("long").alias("image_id"), "content").mapInArrow(work, "image_id long, pixels binary, n long, corners binary")
 
 
-def copies(images: DataFrame, corners: int = 32, inliers: int = 8, least: int = 6) -> DataFrame:
-    """image_id, n_corners, component_id of every row of ``images`` (image_id, content). ``least``: corners that an image needs to be searched; equal pixels need none."""
-    found = common.written(features(images, corners), "image-features")
-    reps = found.where(F.col("pixels").isNotNull() & F.col("image_id").isNotNull()).groupBy("pixels").agg(F.min("image_id").alias("rep"))
-    reps = common.written(reps, "image-classes")
-    own = found.join(reps.select(F.col("rep").alias("image_id"), F.col("pixels").alias("p")), "image_id").where((F.col("pixels") == F.col("p")) & (F.col("n") >= least)).select("image_id", "n", "places", "bits")
-    key = F.explode(F.array_distinct(F.transform("bits", lambda b, i: F.pmod(i, F.lit(TABLES)).cast("long") * F.lit(1 << 32) + b)))
-    keyed = own.select(F.col("image_id").alias("rep"), "n", key.alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    keyed = common.written(keyed.join(shared, "key"), "image-buckets")
+def entries(bits: np.ndarray) -> np.ndarray:
+    """The distinct table entries of an image's corners: number of the table and its 32 bits."""
+    return np.unique(bits.astype(np.int64) + (np.arange(TABLES, dtype=np.int64) << 32))
+
 
-    def confirm(pairs: DataFrame, n_pairs: int) -> DataFrame:
-        side = lambda x: own.select(F.col("image_id").alias(x), F.col("places").alias(f"p{x}"), F.col("bits").alias(f"b{x}"))
-        joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "ba", "pb", "bb")
+def neighbours(row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(corner, neighbour): for each corner its k nearest ones of its scale."""
+    some = []
+    for s in np.unique(row["place"][:, 3]):
+        at = np.flatnonzero(row["place"][:, 3] == s)
+        x, y = row["place"][at, 0], row["place"][at, 1]
+        m = min(k, len(at) - 1)
+        for i in range(0, len(at) if m > 0 else 0, 512):
+            far = (x[i : i + 512, None] - x[None]) ** 2 + (y[i : i + 512, None] - y[None]) ** 2
+            far[np.arange(len(far)), np.arange(i, i + len(far))] = np.inf
+            some.append((np.repeat(at[i : i + 512], m), at[np.argpartition(far, m - 1, axis=1)[:, :m]].ravel()))
+    return tuple(np.concatenate(c) for c in zip(*some)) if some else (np.zeros(0, np.int64),) * 2
 
-        def work(batches):
-            import pyarrow as pa
 
-            for batch in batches:
-                a, b, *rest = (batch.column(i).to_pylist() for i in range(6))
-                keep = [k for k, (p, x, q, y) in enumerate(zip(*rest)) if agree(np.array(p).reshape(-1, 4), np.array(x, np.uint32).reshape(-1, TABLES), np.array(q).reshape(-1, 4), np.array(y, np.uint32).reshape(-1, TABLES)) >= inliers]
-                yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], names=["a", "b"])
+def _keys(own: DataFrame, k: int) -> DataFrame:
+    """(rep, n, key) of images (rep, n, payload): for each table the entries of a corner and of one of its k neighbours, together.
 
-        return joined.mapInArrow(work, "a long, b long")
+    Plain patches agree in single entries by chance, the more the more images there are; two neighbours rarely do.
+    """
+    table = np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    comp = buckets.components_of(keyed, confirm, votes=2)
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keys = []
+                for load in part.column(2).to_pylist():
+                    row = np.frombuffer(load, CORNER)
+                    c, d = neighbours(row, k)
+                    with np.errstate(over="ignore"):
+                        both = (row["bits"][c].astype(np.uint64) << np.uint64(32) | row["bits"][d]) + table
+                    keys.append(np.unique(common.mix64(both)).view(np.int64))
+                many = [len(x) for x in keys]
+                reps, n = (np.repeat(part.column(c).to_numpy(), many) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(n), pa.array(np.concatenate(keys))], names=["rep", "n", "key"])
+
+    return own.mapInArrow(work, "rep long, n long, key long")
+
+
+def _linked(inliers: int, votes: int, bits: int):
+    """Verifies blocks of images: pairs with ``votes`` common entries of which ``inliers`` corners agree, until all are joined that can be."""
+
+    def verify(blocks):
+        from .neardup import overlaps
+
+        for is_left, is_right, loads in blocks:
+            rows = [np.frombuffer(x, CORNER) for x in loads]
+            keys = [entries(r["bits"]) for r in rows]
+            left, right = np.flatnonzero(is_left), np.flatnonzero(is_right)
+            if not len(left) or not len(right):
+                yield left[:0], right[:0]
+                continue
+            shared = overlaps([keys[i] for i in left], [keys[j] for j in right])
+            i, j = np.nonzero(shared >= votes)
+            p, q, n = left[i], right[j], shared[i, j]
+            # A pair with both ends on both sides comes twice.
+            both = np.array(is_left) & np.array(is_right)
+            some = (p != q) & ((p < q) | ~(both[p] & both[q]))
+            p, q, n = p[some], q[some], n[some]
+            order = np.argsort(-n, kind="stable")
+            parent, found = list(range(len(rows))), []
+
+            def root(x):
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            for x, y in zip(p[order].tolist(), q[order].tolist()):
+                a, b = root(x), root(y)
+                if a != b and agree(rows[x]["place"], rows[x]["bits"], rows[y]["place"], rows[y]["bits"], bits) >= inliers:
+                    parent[max(a, b)] = min(a, b)
+                    found.append((x, y))
+            yield tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+    return verify
+
+
+def copies(images: DataFrame, corners: int = 32, inliers: int = 8, least: int = 6, votes: int = 2, bits: int = 20, near: int = 3, **options) -> DataFrame:
+    """image_id, n_corners, component_id of every row of ``images`` (image_id, content).
+
+    least: corners that an image needs to be searched; equal pixels need none. votes: table entries that a pair must share.
+    bits: tests of 128 that may differ in matched corners. near: neighbours with which a corner makes its keys.
+    """
+    found = common.written(features(images, corners), "image-features")
+    reps = found.where(F.col("pixels").isNotNull() & F.col("image_id").isNotNull()).groupBy("pixels").agg(F.min("image_id").alias("rep"))
+    reps = common.written(reps, "image-classes")
+    own = found.join(reps.select(F.col("rep").alias("image_id"), F.col("pixels").alias("p")), "image_id").where((F.col("pixels") == F.col("p")) & (F.col("n") >= least))
+    own = common.written(own.select(F.col("image_id").alias("rep"), "n", F.col("corners").alias("payload")), "image-own")
+    keyed = buckets.distinct_buckets(common.written(_keys(own, near), "image-keys"))
+    comp = buckets.components_of(keyed, own.select("rep", "payload"), _linked(inliers, votes, bits), bytes_of_n=CORNER.itemsize, **options)
     out = found.select("image_id", "n", "pixels").join(reps, "pixels", "left")
     out = out.join(comp.withColumnRenamed("id", "rep"), "rep", "left") if comp is not None else out.withColumn("component", F.col("rep"))
     return out.select("image_id", F.col("n").alias("n_corners"), F.coalesce("component", "rep", "image_id").alias("component_id"))

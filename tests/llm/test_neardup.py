@@ -226,3 +226,36 @@ def test_components_of_paths_stars_and_nothing(spark):
     got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(1, 61), 1), 100: 100, **dict.fromkeys(range(200, 250), 100), 300: 300, 301: 300}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_damaged_pictures_are_unreadable(spark):
+    import struct
+    import zlib
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = lambda colour: chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 4, 8, colour, 0, 0, 0))
+    body, end = chunk(b"IDAT", zlib.compress(b"\0\1\2\3\4" * 4)), chunk(b"IEND", b"")
+    magic = b"\x89PNG\r\n\x1a\n"
+    assert images.decode(magic + head(0) + body + end).shape == (4, 4)
+    for bad in (magic, magic + body + end, magic + head(3) + body + end, magic + head(0) + end, magic + head(7) + body, magic + head(0)[:20], b"P5 4", b"P5 4 4 255\n\0", b"GIF89a"):
+        assert images.decode(bad) is None
+    rows = [(i, bytes(x)) for i, x in enumerate((magic, magic + body + end, magic + head(3) + body + end))]
+    got = images.copies(spark.createDataFrame(rows, "image_id long, content binary")).collect()
+    assert sorted((r.image_id, r.n_corners, r.component_id) for r in got) == [(i, 0, i) for i in range(3)]
+
+
+def test_big_buckets_take_centres_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in range(60)]
+    rows = []
+    for i in range(120):  # near copies at many similarities, so that much of the group stays outside its main component
+        words = list(base)
+        for at in rng.integers(0, 60, rng.integers(0, 8)):
+            words[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    sets, comp = brute(rows, 4)
+    assert 3 < len(set(comp.values())) < 115
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, big=12, block=10, weight=400, rounds=2).collect()}
+    assert got == {i: (len(sets[i]), comp[i]) for i, _ in rows}
