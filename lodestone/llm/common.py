@@ -17,9 +17,17 @@ SPACES = "\x20\x09-\x0d"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bounds the Arrow batches that workers get by their bytes: 10,000 long texts at once would take some 100 MB in each worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "64MB"):  # the default; another setting is the user's
+        spark.conf.set(key, str(most))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -113,6 +121,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes and length of each range of ``data`` (uint8); ``table``: a random odd number for each byte."""
+    up, down = _powers(max(12, int(len(data)).bit_length()))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
+        h = (sums[ends] - sums[starts]) * down[starts]
+        return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of each maximal run of non-space bytes; A-Z count as a-z. ``data``: uint8."""
     if not len(data):
@@ -120,12 +138,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[data]
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _powers(max(12, int(len(data)).bit_length()))
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
-        h = (sums[ends] - sums[starts]) * down[starts]
-        return starts, mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return starts, range_hashes(data, starts, ends, _BYTE)
 
 
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
@@ -180,6 +193,44 @@ def text_batches(column, limit: int = 4 << 20):
         yield start, len(column)
 
 
+class HashIndex:
+    """Numbers for 64-bit hashes: open addressing in two arrays, whole arrays of hashes at a time. 0 is no hash."""
+
+    def __init__(self, most: int):
+        self.slots = 1 << max(12, (2 * most).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.place = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each known hash, -1 for others."""
+        out, mask = np.full(len(h), -1, np.int32), np.uint64(self.slots - 1)
+        todo, slot = np.arange(len(h)), h & mask
+        while len(todo):
+            key = self.keys[slot]
+            hit = key == h[todo]
+            out[todo[hit]] = self.place[slot[hit]]
+            on = ~hit & (key != 0)
+            todo, slot = todo[on], slot[on] + np.uint64(1) & mask
+        return out
+
+    def learn(self, h: np.ndarray, first: int) -> None:
+        """Numbers from ``first`` on for distinct new hashes."""
+        mask = np.uint64(self.slots - 1)
+        todo, slot = np.arange(len(h)), h & mask
+        while len(todo):
+            free = self.keys[slot] == 0
+            _, one = np.unique(slot[free], return_index=True)
+            some = np.flatnonzero(free)[one]
+            self.keys[slot[some]], self.place[slot[some]] = h[todo[some]], first + todo[some]
+            on = np.ones(len(todo), bool)
+            on[some] = False
+            todo, slot = todo[on], slot[on]
+            # Whoever lost a free slot looks at it again, and finds it taken.
+            slot = np.where(self.keys[slot] != 0, slot + np.uint64(1) & mask, slot)
+
+
 # --- connected components -----------------------------------------------------------------------------------
 
 

@@ -45,18 +45,17 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool, capa
 
         enc = tokens.encoder(tokenizer, end_id, drops_space)
         names = [f.split()[0] for f in fields.split(", ")]
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in common.text_batches(common.utf8(texts), 2 << 20):
-                rows: list[list] = [[] for _ in names]
-                for doc_id, ids in zip(doc_ids[a:b], enc.encode_many(texts.slice(a, b - a).to_pylist())):
-                    raw, at = memoryview(ids.astype("<u4").tobytes()), 0
-                    for n in cuts(len(ids), capacity):
-                        part = raw[4 * at : 4 * (at + n)]
-                        for to, x in zip(rows, (doc_id, at, n, zlib.crc32(part), len(ids), bytes(part) if with_ids else None)):
-                            to.append(x)
-                        at += n
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, rows)], names=names)
+        for part, every, bounds in tokens.encoded(batches, enc):
+            rows: list[list] = [[] for _ in names]
+            every = every.astype("<u4")
+            for doc_id, s, e in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                raw, at = memoryview(every[s:e]).cast("B"), 0
+                for n in cuts(e - s, capacity):
+                    piece = raw[4 * at : 4 * (at + n)]
+                    for to, x in zip(rows, (doc_id, at, n, zlib.crc32(piece), e - s, bytes(piece) if with_ids else None)):
+                        to.append(x)
+                    at += n
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, rows)], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, fields)
 

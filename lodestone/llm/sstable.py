@@ -207,16 +207,14 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, drops_s
         enc, shard = tokens.encoder(tokenizer, end_id, drops_space), TaskContext.get().partitionId()
         uri = f"{out}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
         writer = stream = None
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in common.text_batches(common.utf8(texts), 2 << 20):
-                for doc_id, codes in zip(ids[a:b], enc.encode_many(texts.slice(a, b - a).to_pylist())):
-                    if writer is None:
-                        store, path = fs.FileSystem.from_uri(uri)
-                        store.create_dir(path.rpartition("/")[0], recursive=True)
-                        stream = store.open_output_stream(path)
-                        writer = Writer(stream, enc.wide)
-                    writer.add(key_of(doc_id), codes)
+        for part, every, bounds in tokens.encoded(batches, enc):
+            if writer is None:
+                store, path = fs.FileSystem.from_uri(uri)
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                stream = store.open_output_stream(path)
+                writer = Writer(stream, enc.wide)
+            for doc_id, s, e in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                writer.add(key_of(doc_id), every[s:e])
         if writer is not None:
             writer.close()
             stream.close()
