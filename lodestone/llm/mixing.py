@@ -74,9 +74,15 @@ def mix(docs: DataFrame, seed: int = 20_240, **options) -> DataFrame:
     key = [F.col("doc_id").cast("long").alias("mix_id"), F.xxhash64("text", "source").alias("mix_hash")]
     sizes = docs.select(*key, F.col("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sizes = common.written(sizes.withColumnRenamed("mix_id", "doc_id"), "mixing-sizes")
-    dealt = copies(sizes, seed, **options).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "mix_hash").orderBy("copies"))).select(F.col("doc_id").alias("mix_id"), "mix_hash", F.col("nth").alias("mix_nth"), F.col("copies").alias("mix_copies")).where("mix_copies > 0")
-    rows = docs.select(F.struct("*").alias("mix_row"), *key).withColumn("mix_nth", F.row_number().over(Window.partitionBy("mix_id", "mix_hash").orderBy("mix_hash")))
-    same = F.col("l.mix_id").eqNullSafe(F.col("r.mix_id")) & (F.col("l.mix_hash") == F.col("r.mix_hash")) & (F.col("l.mix_nth") == F.col("r.mix_nth"))
+    dealt = copies(sizes, seed, **options).where("copies > 0").select(F.col("doc_id").alias("mix_id"), "mix_hash", F.col("copies").alias("mix_copies"))
+    rows = docs.select(F.struct("*").alias("mix_row"), *key)
+    same = F.col("l.mix_id").eqNullSafe(F.col("r.mix_id")) & (F.col("l.mix_hash") == F.col("r.mix_hash"))
+    if not sizes.groupBy("doc_id", "mix_hash").count().where("count > 1").isEmpty():
+        # Repeated rows: the n-th of them in the table takes the n-th number of copies.
+        by = Window.partitionBy("mix_id", "mix_hash")
+        rows = rows.withColumn("mix_nth", F.row_number().over(by.orderBy("mix_hash")))
+        dealt = dealt.withColumn("mix_nth", F.row_number().over(by.orderBy("mix_copies")))
+        same = same & (F.col("l.mix_nth") == F.col("r.mix_nth"))
     joined = rows.alias("l").join(dealt.alias("r"), same).select("l.mix_row", "r.mix_copies")
     return joined.select("mix_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select("mix_row.*")
 

@@ -145,13 +145,19 @@ def classes(docs: DataFrame, k: int, percent: int = 80, perms: int = PERMS, rows
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
     """``docs`` without near-duplicates: of each component the least doc_id stays, once; columns unchanged. Rows without an id stay."""
     found = common.written(classes(docs, k, percent, **options), "neardup-result").where("doc_id is not null")
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("neardup_n")).withColumnRenamed("doc_id", "neardup_id")
+    # Ids that go are few against the rows; texts are not shuffled as long as these ids are within the bound.
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("neardup_id")).distinct()
+    gone = common.broadcast_if_small(gone, found.where("doc_id <> component_id").count(), 2_000_000)
     rows = docs.select(F.struct("*").alias("neardup_row"), F.col("doc_id").cast("long").alias("neardup_doc"))
-    one = rows.join(kept, F.col("neardup_doc") == F.col("neardup_id"))
-    if not kept.where("neardup_n > 1").isEmpty():
-        nth = Window.partitionBy("neardup_id").orderBy(F.xxhash64("neardup_row.text"))
-        one = one.withColumn("neardup_nth", F.row_number().over(nth)).where("neardup_nth = 1").drop("neardup_nth")
-    return one.select("neardup_row.*").unionByName(docs.where("doc_id is null"))
+    one = rows.join(gone, F.col("neardup_doc") == F.col("neardup_id"), "left_anti")
+    twice = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("neardup_id")).agg(F.count("*").alias("n")).where("n > 1").select("neardup_id")
+    twice = common.written(twice, "neardup-twice")
+    if not twice.isEmpty():  # of rows with one id one stays
+        again = one.join(twice, F.col("neardup_doc") == F.col("neardup_id"), "left_semi")
+        nth = Window.partitionBy("neardup_doc").orderBy(F.xxhash64("neardup_row.text"))
+        again = again.withColumn("nth", F.row_number().over(nth)).where("nth = 1").drop("nth")
+        one = one.join(twice, F.col("neardup_doc") == F.col("neardup_id"), "left_anti").unionByName(again)
+    return one.select("neardup_row.*")
 
 
 def op9_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+_BYTES = np.random.Generator(np.random.PCG64(613)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+(?:['-][a-z0-9\x80-\xff]+)*")
 
 
@@ -172,26 +173,71 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, bits: int = 2
     return fit_rows(rows, grades, bits, **options)
 
 
-def _scorer(model: Model):
-    """Bytes of texts to linear scores; a word's weight is looked up once and kept while the cache is small."""
-    cache: dict[bytes, tuple[int, ...]] = {}
-
-    def known(word: bytes) -> tuple[int, ...]:
-        return tuple(v for v in (slot(f, model.bits) for f in features(word)) if v in model.weights)
-
-    def z(texts: list[bytes | None]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for i, t in enumerate(texts):
-            found = words(t)
-            if len(cache) > 500_000:
-                cache.clear()
-            for w in found.difference(cache):
-                cache[w] = known(w)
-            hit = {v for w in found for v in cache[w]}
-            out[i] = sum(model.weights[v] for v in sorted(hit))
-        return out
-
-    return z
+_PART = np.zeros(256, bool)
+_PART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = True
+_JOINS = np.zeros(256, bool)
+_JOINS[[39, 45]] = True
+
+
+def word_ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of :func:`words` in bytes."""
+    inside = _PART[data]
+    edge = np.concatenate(([False], inside, [False]))
+    inside |= _JOINS[data] & edge[:-2] & edge[2:]
+    turn = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
+    return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+
+
+class _Scorer:
+    """Bytes of texts to linear scores. A word is looked up by its hash; what it weighs is worked out once and forgotten
+    beyond ``most`` words. Words of over 64 bytes are worked out each time."""
+
+    def __init__(self, model: Model, most: int = 400_000):
+        self.model, self.most, self.index = model, most, common.HashIndex(most)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index.clear()
+        self.slots: list[tuple[int, ...]] = []
+        self.weighs = np.zeros(0, bool)
+
+    def _add(self, found: list[bytes]) -> int:
+        first = len(self.slots)
+        new = [tuple(v for v in (slot(f, self.model.bits) for f in features(w)) if v in self.model.weights) for w in found]
+        self.slots += new
+        self.weighs = np.concatenate((self.weighs, np.fromiter(map(bool, new), bool, len(new))))
+        return first
+
+    def _batch(self, texts: list[bytes]) -> np.ndarray:
+        raw = b"\n".join(texts).lower()
+        data = np.frombuffer(raw, np.uint8)
+        start, end = word_ranges(data)
+        if len(self.slots) > self.most:
+            self._forget()
+        h = common.range_hashes(data, start, end, _BYTES) if len(start) else np.zeros(0, np.uint64)
+        h[h == 0] = 1
+        short = end - start <= 64
+        number = np.full(len(start), -1, np.int32)
+        number[short] = self.index.find(h[short])
+        new = np.flatnonzero(short & (number < 0))
+        if len(new):
+            marks, one, back = np.unique(h[new], return_index=True, return_inverse=True)
+            first = self._add([raw[a:b] for a, b in zip(start[new[one]].tolist(), end[new[one]].tolist())])
+            self.index.learn(marks, first)
+            number[new] = first + back
+        known, long = len(self.slots), np.flatnonzero(~short)
+        if len(long):
+            number[long] = self._add([raw[start[i] : end[i]] for i in long.tolist()]) + np.arange(len(long))
+        hit = np.flatnonzero(self.weighs[number])
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        doc = np.searchsorted(bounds, start[hit], side="right")
+        pairs = sorted({(d, v) for d, n in zip(doc.tolist(), number[hit].tolist()) for v in self.slots[n]})
+        if len(long):
+            self.slots, self.weighs = self.slots[:known], self.weighs[:known]
+        return np.bincount([d for d, _ in pairs], [self.model.weights[v] for _, v in pairs], len(texts)) if pairs else np.zeros(len(texts))
+
+    def __call__(self, texts: list[bytes | None]) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self._batch([t or b"" for t in texts[a:b]]) for a, b in common.text_batches(texts, 1 << 20))])
 
 
 def score(docs: DataFrame, model: Model, reject: float = 0.5) -> DataFrame:
@@ -200,7 +246,7 @@ def score(docs: DataFrame, model: Model, reject: float = 0.5) -> DataFrame:
     def work(batches):
         import pyarrow as pa
 
-        z = _scorer(model)
+        z = _Scorer(model)
         for batch in batches:
             n = batch.num_rows
             s = z(common.utf8(batch.column(1)))
@@ -219,7 +265,7 @@ def keep_clean(docs: DataFrame, model: Model, reject: float = 0.5) -> DataFrame:
     def work(batches):
         import pyarrow as pa
 
-        z = _scorer(model)
+        z = _Scorer(model)
         for batch in batches:
             if model.thresholds:
                 s = z(common.utf8(batch.column(batch.schema.get_field_index("text"))))
