@@ -52,6 +52,8 @@ def _verified(rows: DataFrame, verify: Callable, limit: int = 8 << 20) -> DataFr
     def work(batches):
         import pyarrow as pa
 
+        common.claim("buckets")
+
         held: list[tuple] = []
         size, last = 0, None
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -99,16 +100,38 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 2**64)
 
 
-@lru_cache(maxsize=4)
+_POWERS: list[np.ndarray] = []
+
+
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``2 ** bits`` powers of the base and of its inverse; the largest arrays asked for are kept."""
     n = 1 << bits
-    out = []
-    for base in (_BASE, _BASE_INV):
-        x = np.full(n, base, np.uint64)
-        x[0] = 1
-        with np.errstate(over="ignore"):
-            out.append(np.cumprod(x, dtype=np.uint64))
-    return out[0], out[1]
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS.clear()
+        for base in (_BASE, _BASE_INV):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            with np.errstate(over="ignore"):
+                _POWERS.append(np.cumprod(x, dtype=np.uint64))
+    return _POWERS[0], _POWERS[1]
+
+
+_OWNER: list[str] = []
+_CACHES: list = [_POWERS]
+
+
+def claim(owner: str) -> None:
+    """Called in a worker by the operator that starts to use it: what another one has kept there is given back."""
+    if _OWNER != [owner]:
+        if _OWNER:
+            for cache in _CACHES:
+                cache.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+        _OWNER[:] = [owner]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

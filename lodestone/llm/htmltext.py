@@ -196,6 +196,8 @@ def deduce(pages: DataFrame, share: float = 0.5, least: int = 4, members: int =
     def work(batches):
         import pyarrow as pa
 
+        common.claim("html")
+
         for batch in batches:
             out = {k: [] for k in ("host", "page", "token", "is_text", "n", "first", "last")}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -254,6 +256,8 @@ def extract(pages: DataFrame, share: float = 0.5, least: int = 4) -> DataFrame:
     def work(batches):
         import pyarrow as pa
 
+        common.claim("html")
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

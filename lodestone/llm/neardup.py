@@ -66,6 +66,7 @@ def signatures(docs: DataFrame, k: int, perms: int = PERMS, rows: int = ROWS) ->
         import pyarrow as pa
         import xxhash
 
+        common.claim("neardup")
         for batch in batches:
             ids, texts = batch.column(0), common.utf8(batch.column(1))
             for a, b in common.text_batches(texts, 512 << 10):
@@ -106,7 +107,7 @@ def linked(k: int, percent: int):
     def verify(blocks):
         texts = list(dict.fromkeys(t for _, _, ts in blocks for t in ts))
         sets: dict[bytes, np.ndarray] = {}
-        for a, b in common.text_batches(texts, 4 << 20):
+        for a, b in common.text_batches(texts, 512 << 10):
             sets.update(zip(texts[a:b], common.shingle_sets(texts[a:b], k)))
         for is_left, is_right, ts in blocks:
             p, q = np.flatnonzero(is_left), np.flatnonzero(is_right)

@@ -43,6 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool, capa
     def work(batches):
         import pyarrow as pa
 
+        common.claim("tokens")
         enc = tokens.encoder(tokenizer, end_id, drops_space)
         names = [f.split()[0] for f in fields.split(", ")]
         for part, every, bounds in tokens.encoded(batches, enc):

@@ -204,6 +204,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, drops_s
         from pyarrow import fs
         from pyspark import TaskContext
 
+        common.claim("tokens")
         enc, shard = tokens.encoder(tokenizer, end_id, drops_space), TaskContext.get().partitionId()
         uri = f"{out}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
         writer = stream = None

@@ -203,6 +203,7 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
+common._CACHES.append(_ENCODERS)
 
 
 def encoder(path: str, end_id: int, drops_space: bool) -> Encoder:

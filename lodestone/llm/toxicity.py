@@ -157,6 +157,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int)
     def work(batches):
         import pyarrow as pa
 
+        common.claim("toxicity")
+
         for batch in batches:
             slots = [doc_slots(t, bits) for t in common.utf8(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.list_(pa.int32()))], names=["doc_id", "grade", "slots"])
@@ -246,6 +248,8 @@ def score(docs: DataFrame, model: Model, reject: float = 0.5) -> DataFrame:
     def work(batches):
         import pyarrow as pa
 
+        common.claim("toxicity")
+
         z = _Scorer(model)
         for batch in batches:
             n = batch.num_rows
@@ -265,6 +269,8 @@ def keep_clean(docs: DataFrame, model: Model, reject: float = 0.5) -> DataFrame:
     def work(batches):
         import pyarrow as pa
 
+        common.claim("toxicity")
+
         z = _Scorer(model)
         for batch in batches:
             if model.thresholds:
