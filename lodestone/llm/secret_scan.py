@@ -1,13 +1,17 @@
 """Secret scans by one combined deterministic automaton.
 
-``compile_rules`` turns byte-level rules into one unanchored automaton: Thompson construction, subset construction
-over byte classes, Hopcroft-style partition refinement, flat transition arrays. ``Automaton.scan`` runs it over a
-whole buffer of documents in one pass of bytes: the buffer is cut into equal lanes that step together, and a lane
-whose assumed start differs from the state in which the lane before it ended is run again, until all agree, so the
-result is that of one sequential pass. The states passed say which rules fire in which document; only there are
-the rules' exact spans taken (leftmost, non-overlapping for each rule).
-
-A null text is the empty text, without spans. Offsets count code points, ends are exclusive. Extra columns ignored.
+``compile_rules`` turns byte-level regular expressions into one unanchored automaton of all rules, read from the end of the text
+to its start: Thompson construction, reversal, subset construction over byte classes, refinement of the partition of
+states, flat transition arrays. One pass over the bytes of a whole buffer of documents gives, for every rule at once, the
+places where a match starts. From the leftmost start the rule's own small automaton reads on to the longest end, and the
+next start is looked for behind it, so spans are leftmost, longest and non-overlapping for each rule. No other matcher
+takes part.
+
+``Automaton.scan`` cuts the buffer into equal lanes that step together; a lane whose assumed start state differs from the
+state in which the lane before it ended is run again, until all agree, so the result is that of one sequential pass. A state
+that lasts (inside a long run) is tried for twice as many lanes in each turn.
+
+A null text is the empty text, without spans. Offsets count code points, ends are exclusive. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,27 +30,28 @@ from . import common
 
 @dataclass(frozen=True)
 class Rule:
-    """kind; trigger: what the automaton looks for, which every match holds (a subset of regular expressions, see :class:`_Parser`);
-    pattern: the exact expression for spans; least: the least length of ``group`` for a match to count."""
+    """kind; head and tail: a match is the one followed by the other (a subset of regular expressions, see :class:`_Parser`);
+    least: the least length of the tail, or without a head of the match, for it to count. A shorter one is taken, then dropped."""
 
     kind: str
-    trigger: str
-    pattern: str
-    group: int = 0
+    head: str
+    tail: str
     least: int = 0
 
 
-#: The first three are the base kinds, in the order in which ties are listed.
+#: The first three are the base kinds, in the order in which ties are listed. A run of hex digits is one match if it has 24.
 RULES = (
-    Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)", r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]{4}", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]{24}", r"[0-9a-f]+", 0, 24),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----)?"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{4}", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"://[A-Za-z0-9._-]+:[A-Za-z0-9._~!$*+=-]+@", r"[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._-]{1,64}:[A-Za-z0-9._~!$*+=-]{3,128}@"),
-    Rule("prefixed_key", r"(ghp_|gho_|xoxb-|xoxp-|sk_live_|AIza)[A-Za-z0-9_-]{4}", r"(?:ghp_|gho_|xoxb-|xoxp-|sk_live_|AIza)[A-Za-z0-9_-]{16,}"),
+    Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?", r"[A-Za-z0-9+/_.=-]+", 6),
+    Rule("access", r"", r"AKIA[A-Z0-9]+", 20),
+    Rule("hex", r"", r"[0-9a-f]{24,}"),
+    Rule("private_key", r"", r"-----BEGIN [A-Z ]*PRIVATE KEY-----([A-Za-z0-9+/=\x09-\x0d\x20]+-----END [A-Z ]*PRIVATE KEY-----)?"),
+    Rule("web_token", r"", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("url_login", r"", r"[a-z][a-z0-9+.-]+://[A-Za-z0-9._-]+:[A-Za-z0-9._~!$*+=-]{3,}@"),
+    Rule("prefixed_key", r"", r"(ghp_|gho_|xoxb-|xoxp-|sk_live_|AIza)[A-Za-z0-9_-]{16,}"),
 )
 BASE = ("assign", "access", "hex")
+#: Between documents: a byte that no UTF-8 text and no rule holds.
+GAP = b"\xff"
 
 
 class _Parser:
@@ -160,14 +165,34 @@ class Automaton:
     def __init__(self, table: np.ndarray, class_of: np.ndarray, fires: np.ndarray):
         self.classes, self.class_of, self.fires, self.table = table.shape[1], class_of, fires, table
         self.next = (table.astype(np.int32) * self.classes).ravel()
+        # For short runs: rows of successors by byte, and states from which nothing fires any more.
+        self.dead = next((i for i, row in enumerate(table.tolist()) if not fires[i] and set(row) == {i}), -1)
 
-    def run(self, data: bytes, state: int = 0) -> int:
-        """The mask of rules that fire in ``data``: the plain sequential pass, for tests."""
-        mask = 0
-        for b in data:
+    def run(self, data: bytes, state: int = 0) -> list[tuple[int, int]]:
+        """(position, mask) of every byte after which rules fire: the plain sequential pass, for tests."""
+        out = []
+        for i, b in enumerate(data):
             state = int(self.table[state, self.class_of[b]])
-            mask |= int(self.fires[state])
-        return mask
+            if self.fires[state]:
+                out.append((i, int(self.fires[state])))
+        return out
+
+    @property
+    def rows(self) -> list[list[int]]:
+        if not hasattr(self, "_rows"):
+            self._rows = self.table[:, self.class_of].tolist()
+        return self._rows
+
+    def longest(self, data: bytes, start: int, stop: int) -> int:
+        """The end of the longest match that begins at ``start``, -1 for none (of an anchored automaton)."""
+        rows, fires, state, end = self.rows, self.fires, 0, start if self.fires[0] else -1
+        for i in range(start, stop):
+            state = rows[state][data[i]]
+            if state == self.dead:
+                break
+            if fires[state]:
+                end = i + 1
+        return end
 
     def scan(self, data: np.ndarray, lane: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """(positions, masks) of every byte of ``data`` after which rules fire."""
@@ -198,7 +223,14 @@ class Automaton:
             end[todo] = state
             want = np.concatenate((np.zeros(1, np.int32), end[:-1]))
             todo = np.flatnonzero(want != start)
-            start = want
+            new = want
+            if turn > 3 and len(todo):
+                # A state that outlasts its lane is tried for the lanes after it, too: in vain at worst.
+                first, ahead = todo[0], 1 << min(turn - 2, 20)
+                new = want.copy()
+                new[first : first + ahead] = want[first]
+                todo = np.flatnonzero(new != start)
+            start = new
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at, state, turns = (np.concatenate(x) for x in zip(*found))
@@ -208,15 +240,24 @@ class Automaton:
         return at[order], self.fires[state[order] // self.classes]
 
 
-def _determinise(nfas: list[_Parser], ends: list[tuple[int, int]]) -> Automaton:
-    eps, move, accept, begin = [], [], {}, []
-    for k, (p, (s, e)) in enumerate(zip(nfas, ends)):
-        at = len(eps)
-        eps += [[x + at for x in xs] for xs in p.eps]
-        move += [m and (m[0], m[1] + at) for m in p.move]
-        accept[e + at] = 1 << k
-        begin.append(s + at)
-    sets = list({m[0] for m in move if m})
+def _determinise(nfas: list[tuple[_Parser, int, int]], backwards: bool) -> Automaton:
+    """Subset construction. backwards: of the reversed languages, and a match may begin at any byte."""
+    eps: dict[int, list[int]] = {}
+    move: dict[int, list[tuple[frozenset[int], int]]] = {}
+    accept, begin, at = {}, [], 0
+    for k, (p, s, e) in enumerate(nfas):
+        for i, (xs, m) in enumerate(zip(p.eps, p.move)):
+            for x in xs:
+                a, b = (x + at, i + at) if backwards else (i + at, x + at)
+                eps.setdefault(a, []).append(b)
+            if m:
+                a, b = (m[1] + at, i + at) if backwards else (i + at, m[1] + at)
+                move.setdefault(a, []).append((m[0], b))
+        first, last = (e, s) if backwards else (s, e)
+        accept[last + at] = 1 << k
+        begin.append(first + at)
+        at += len(p.eps)
+    sets = list({m[0] for ms in move.values() for m in ms})
     key = [tuple(b in s for s in sets) for b in range(256)]
     numbers = {k: i for i, k in enumerate(dict.fromkeys(key))}
     class_of = np.array([numbers[k] for k in key], np.uint8)
@@ -226,19 +267,25 @@ def _determinise(nfas: list[_Parser], ends: list[tuple[int, int]]) -> Automaton:
     def closure(s: int) -> frozenset[int]:
         seen, todo = {s}, [s]
         while todo:
-            for x in eps[todo.pop()]:
+            for x in eps.get(todo.pop(), ()):
                 if x not in seen:
                     seen.add(x)
                     todo.append(x)
-        return frozenset(x for x in seen if move[x] or x in accept)
+        return frozenset(x for x in seen if x in move or x in accept)
+
+    @lru_cache(maxsize=None)
+    def after(s: int) -> tuple[frozenset[int], ...]:
+        """The states reached from one by a byte of each class."""
+        return tuple(frozenset().union(*(closure(d) for m, d in move.get(s, ()) if b in m)) for b in sample)
 
     first = frozenset().union(*map(closure, begin))
+    base = first if backwards else frozenset()
     ids, todo, rows = {first: 0}, [first], []
-    while todo:
-        now = todo.pop(0)
+    for now in todo:
+        steps = [after(s) for s in now]
         row = []
-        for b in sample:
-            new = first.union(*(closure(move[s][1]) for s in now if move[s] and b in move[s][0]))
+        for c in range(len(sample)):
+            new = base.union(*(x[c] for x in steps))
             if new not in ids:
                 ids[new] = len(ids)
                 todo.append(new)
@@ -262,24 +309,64 @@ def _minimise(table: np.ndarray, class_of: np.ndarray, fires: np.ndarray) -> Aut
     return Automaton(rename[part[table[order]]], class_of, fires[order])
 
 
-@lru_cache(maxsize=8)
-def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
-    nfas = [_Parser(r.trigger) for r in rules]
-    return _determinise(nfas, [p.parse() for p in nfas])
+@dataclass(frozen=True)
+class Compiled:
+    """starts: all rules at once, from the end; whole, heads: each rule's own, anchored."""
+
+    rules: tuple[Rule, ...]
+    starts: Automaton
+    whole: tuple[Automaton, ...]
+    heads: tuple[Automaton | None, ...]
+
+    def spans(self, texts: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
+        """By number of the text, (start, rule number, end) in code points of all matches, in order."""
+        buffer = GAP.join(texts)
+        data = np.frombuffer(buffer, np.uint8)
+        at, masks = self.starts.scan(data[::-1])
+        at, masks = len(data) - 1 - at[::-1], masks[::-1]
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        doc = np.searchsorted(bounds, at, side="right")
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        for k, rule in enumerate(self.rules):
+            mine = np.flatnonzero(masks >> np.uint64(k) & np.uint64(1))
+            places, docs, i, done = at[mine], doc[mine], 0, 0
+            while i < len(places):
+                s, d = int(places[i]), int(docs[i])
+                e = self.whole[k].longest(buffer, s, int(bounds[d]) - 1)
+                tail = self.heads[k].longest(buffer, s, e) if self.heads[k] else s
+                if e - tail >= rule.least:
+                    out.setdefault(d, []).append((s, k, e))
+                done = max(e, s + 1)
+                i = i + 1 if i + 1 >= len(places) or places[i + 1] >= done else int(np.searchsorted(places, done))
+        for d, found in out.items():
+            first = int(bounds[d]) - len(texts[d]) - 1
+            text = data[first : first + len(texts[d])]
+            ends = np.array([(s - first, e - first) for s, _, e in found])
+            if not texts[d].isascii():  # bytes to code points: those that begin one are counted
+                count = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))
+                ends = count[ends]
+            out[d] = sorted((s, k, e) for (s, e), (_, k, _) in zip(ends.tolist(), found))
+        return out
 
 
-@lru_cache(maxsize=64)
-def _exact(rule: Rule) -> re.Pattern:
-    return re.compile(rule.pattern)
+@lru_cache(maxsize=8)
+def compile_rules(rules: tuple[Rule, ...] = RULES) -> Compiled:
+    def nfa(text: str) -> tuple[_Parser, int, int]:
+        p = _Parser(text)
+        return (p, *p.parse())
 
+    def joined(r: Rule) -> tuple[_Parser, int, int]:
+        p, s, e = nfa(r.tail)
+        if not r.head:
+            return p, s, e
+        h, a, b = nfa(r.head)
+        at = len(h.eps)
+        h.eps += [[x + at for x in xs] for xs in p.eps]
+        h.move += [m and (m[0], m[1] + at) for m in p.move]
+        h.eps[b].append(s + at)
+        return h, a, e + at
 
-def spans(text: str, mask: int, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
-    """(start, rule number, end) of every match of the rules in ``mask``, in order."""
-    out = []
-    for k, rule in enumerate(rules):
-        if mask >> k & 1:
-            out += [(m.start(), k, m.end()) for m in _exact(rule).finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
-    return sorted(out)
+    return Compiled(rules, _determinise([joined(r) for r in rules], True), tuple(_determinise([joined(r)], False) for r in rules), tuple(_determinise([nfa(r.head)], False) if r.head else None for r in rules))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: list[str] | None = None) -> DataFrame:
@@ -289,19 +376,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: list[str] | No
     def work(batches):
         import pyarrow as pa
 
+        common.claim("secrets")
+
         auto = compile_rules(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             texts = common.utf8(batch.column(batch.num_columns - 1))
-            for a, b in common.text_batches(texts, 16 << 20):
-                raw = [t or b"" for t in texts[a:b]]
-                bounds = np.cumsum([len(t) + 1 for t in raw])
-                at, masks = auto.scan(np.frombuffer(b"\n".join(raw), np.uint8))
-                doc = np.searchsorted(bounds, at, side="right")
-                hit: dict[int, int] = {}
-                for pair in set(zip(doc.tolist(), masks.tolist())):
-                    hit[pair[0]] = hit.get(pair[0], 0) | pair[1]
-                found = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in spans(raw[i].decode(), hit[i], rules)] if i in hit else [] for i in range(len(raw))]
+            for a, b in common.text_batches(texts, 8 << 20):
+                hit = auto.spans([t or b"" for t in texts[a:b]])
+                found = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in hit.get(i, ())] for i in range(b - a)]
                 cols = [batch.column(j).slice(a, b - a) for j in range(batch.num_columns - 1)]
                 names = ["doc_id", *carry]
                 if "text" in carry:
@@ -320,18 +403,15 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     def work(batches):
         import pyarrow as pa
 
+        common.claim("secrets")
+
         auto = compile_rules(rules)
         for batch in batches:
             j = batch.schema.get_field_index("text")
             texts = common.utf8(batch.column(j))
             new: list[str | None] = []
-            for a, b in common.text_batches(texts, 16 << 20):
-                raw = [t or b"" for t in texts[a:b]]
-                bounds = np.cumsum([len(t) + 1 for t in raw])
-                at, masks = auto.scan(np.frombuffer(b"\n".join(raw), np.uint8))
-                hit: dict[int, int] = {}
-                for i, m in set(zip(np.searchsorted(bounds, at, side="right").tolist(), masks.tolist())):
-                    hit[i] = hit.get(i, 0) | m
+            for a, b in common.text_batches(texts, 8 << 20):
+                hit = auto.spans([t or b"" for t in texts[a:b]])
                 for i, t in enumerate(texts[a:b]):
                     if t is None:
                         new.append(None)
@@ -339,7 +419,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                     text = t.decode()
                     if i in hit:
                         out, done = [], 0
-                        for s, k, e in spans(text, hit[i], rules):
+                        for s, k, e in hit[i]:
                             if s >= done:
                                 out += [text[done:s], f"[{rules[k].kind}]"]
                             done = max(done, e)

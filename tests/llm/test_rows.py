@@ -117,17 +117,34 @@ def test_secrets_of_odd_documents_and_redaction(spark, odd, none):
     assert secret_scan.scan(none).count() == secret_scan.redact(none).count() == 0
 
 
-def test_automaton_agrees_with_re():
-    rules = tuple(secret_scan.Rule(str(i), p, p) for i, p in enumerate(["ab*c", "(?i)x(yz|y)+1", "[0-9]{3}", "a.?b".replace(".", "[a-z]"), "q{2,4}r", "é".encode().hex()]))
-    auto = secret_scan.compile_rules(rules)
+ADDED = {
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----)?",
+    "web_token": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "url_login": r"[a-z][a-z0-9+.-]+://[A-Za-z0-9._-]+:[A-Za-z0-9._~!$*+=-]{3,}@",
+    "prefixed_key": r"(?:ghp_|gho_|xoxb-|xoxp-|sk_live_|AIza)[A-Za-z0-9_-]{16,}",
+}
+
+
+def test_automaton_spans_equal_those_of_re():
+    """Small rules of every construct over random texts, and the registered rules over pieces of secrets, long ones too."""
+    patterns = ["ab*c", "(?i)x(yz|y)+1", "[0-9]{3}", "a[a-z]?b", "q{2,4}r", "é".encode().hex(), "z+"]
+    small = secret_scan.compile_rules(tuple(secret_scan.Rule(str(i), "", p) for i, p in enumerate(patterns)))
     rng = np.random.default_rng(6)
-    for _ in range(300):
-        t = "".join(rng.choice(list("abcxyzXYZ019qr"), 60)).encode()
-        want = sum(1 << i for i, r in enumerate(rules) if re.search(r.pattern, t.decode()))
-        at, masks = auto.scan(np.frombuffer(t, np.uint8), lane=7)
-        assert auto.run(t) == want == int(np.bitwise_or.reduce(masks)) if len(masks) else auto.run(t) == want == 0
-    small = secret_scan._minimise(auto.table, auto.class_of, auto.fires)
-    assert len(small.fires) == len(auto.fires)
+    texts = ["".join(rng.choice(list("abcxyzXYZ019qré"), 60)) for _ in range(300)]
+    got = small.spans([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == sorted((m.start(), k, m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, t)), t
+    data = np.frombuffer(secret_scan.GAP.join(t.encode() for t in texts), np.uint8)[::-1]
+    at, masks = small.starts.scan(data, lane=7)
+    assert list(zip(at.tolist(), masks.tolist())) == small.starts.run(data.tobytes())
+    assert len(secret_scan._minimise(small.starts.table, small.starts.class_of, small.starts.fires).fires) == len(small.starts.fires)
+    bits = ["token", "=", ":", " ", "'", "abcdef", "AKIA", "Q" * 16, "0a1b" * 6, "é", "\n", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "PRIVATE KEY", "https://", "u:pass@", "v" * 300 + ":" + "w" * 500 + "@", "eyJ", "abcdefgh.", "ghp_", "sk_live_", "x" * 20, "://", "@", "-"]
+    texts = ["".join(rng.choice(bits, 14)) for _ in range(1500)] + ["://" + "a" * 9000, "a" * 9000 + "@", "h" * 3000 + "://" + "u" * 5000 + ":" + "p" * 5000 + "@"]
+    got = secret_scan.compile_rules().spans([t.encode() for t in texts])
+    kinds = [r.kind for r in secret_scan.RULES]
+    for i, t in enumerate(texts):
+        want = [(s, kinds.index(k), e) for k, s, e in base(t)] + [(m.start(), kinds.index(k), m.end()) for k, p in ADDED.items() for m in re.finditer(p, t)]
+        assert got.get(i, []) == sorted(want), t[:200]
 
 
 def goals(sizes, weights=(5, 2, 1), total=1.5, most=2.0):
