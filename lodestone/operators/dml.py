@@ -15,8 +15,9 @@ class ConstraintError(ValueError):
     pass
 
 
-def literal_rows(spark: SparkSession, rows: list[list[str]], columns: list[str], types: dict[str, str], pk: str, df: DataFrame, documents: set[str]) -> DataFrame:
-    """Parsed VALUES rows with the table's types; an empty primary key counts on from the largest one."""
+def literal_rows(spark: SparkSession, rows: list[list[str]], columns: list[str], types: dict[str, str], pk: str, df: DataFrame, documents: set[str], calls=None) -> DataFrame:
+    """Parsed VALUES rows with the table's types; an empty primary key counts on from the largest one. calls: gives the value of
+    a function call among them."""
     parsed, top, given = [], None, 0
     for r in rows:
         row = dict.fromkeys(types)
@@ -24,7 +25,10 @@ def literal_rows(spark: SparkSession, rows: list[list[str]], columns: list[str],
             v = v.strip()
             if v == "":
                 continue
-            if v.startswith("{"):
+            if calls and re.match(r"[A-Za-z_]\w*\(.*\)$", v, re.S):
+                v = calls(v)
+                row[c] = None if v is None else Decimal(v) if types[c].startswith("decimal") else int(v) if types[c] in ("int", "bigint") else float(v) if types[c] in ("float", "double") else str(v)
+            elif v.startswith("{"):
                 row[c] = v.replace("'", '"')
             elif v.startswith("'"):
                 row[c] = v[1:-1].replace("''", "'")
@@ -85,6 +89,11 @@ def update(df: DataFrame, hit: DataFrame, pk: str, sets: dict[str, str]) -> tupl
     return marked.select(*[F.when(F.col("dml_key").isNotNull(), F.expr(sets[c])).otherwise(F.col(c)).cast(k).alias(c) if c in sets else F.col(c) for c, k in df.dtypes]), n
 
 
+def update_where(df: DataFrame, condition, sets: dict[str, str]) -> DataFrame:
+    """As :func:`update` for rows that a condition without nulls picks: no join and no shuffle."""
+    return df.select(*[F.when(condition, F.expr(sets[c])).otherwise(F.col(c)).cast(k).alias(c) if c in sets else F.col(c) for c, k in df.dtypes])
+
+
 def delete(df: DataFrame, hit: DataFrame, pk: str) -> DataFrame:
     return df.join(hit.select(pk), pk, "left_anti")
 
@@ -93,12 +102,12 @@ def first_of(df: DataFrame, order: list, n: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(n)
 
 
-def guarded(column: str, text: str, kind: str, docs: dict[str, str]) -> str:
+def guarded(column: str, text: str, kind: str, docs: dict[str, str], macros: dict | None = None) -> str:
     """SET c = e as SQL. ``c = c OP number`` on unsigned integers truncates and fails below zero or above the type."""
     m = re.fullmatch(rf"{column}\s*([-+*/%^])\s*([\d.]+)", text)
     whole = kind == "bigint" or kind.startswith("decimal")
     if not m or not whole:
-        return to_sql(text, docs)
+        return to_sql(text, docs, None, macros)
     op, value = m[1], m[2]
     if op in "+-":
         value = str(int(float(value)))

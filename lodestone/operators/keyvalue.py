@@ -26,9 +26,15 @@ def mget(kv: DataFrame, keys: list[str]) -> DataFrame:
     return asked.join(kv.select("key", "value"), "key", "left").orderBy("pos").select("key", "value")
 
 
+def _last(new: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Of rows with one key the last, in the order of the rows."""
+    row = new.withColumn("kv_nth", F.monotonically_increasing_id())
+    return row.groupBy(*by).agg(F.max(F.struct("kv_nth", value)).alias("kv_m")).select(*by, F.col(f"kv_m.{value}").alias(value))
+
+
 def put(kv: DataFrame, new: DataFrame) -> DataFrame:
-    """SET and MSET: upsert, clearing expiry."""
-    new = new.select("key", "value", F.lit(None).cast(dict(kv.dtypes)["expire_at"]).alias("expire_at"))
+    """SET and MSET: upsert, clearing expiry. Of a key given twice the last value counts."""
+    new = _last(new.select("key", "value"), ["key"], "value").withColumn("expire_at", F.lit(None).cast(dict(kv.dtypes)["expire_at"]))
     return kv.join(new.select("key"), "key", "left_anti").unionByName(new)
 
 
@@ -45,9 +51,9 @@ def delete(table: DataFrame, keys: list[str]) -> DataFrame:
 
 def change(kv: DataFrame, key: str, value) -> DataFrame:
     """Sets ``value`` (a column over the old value) for one key; a missing key starts from null."""
-    spark = kv.sparkSession
-    one = spark.createDataFrame([(key,)], "key string").join(kv.where(F.col("key") == key), "key", "left")
-    return kv.where(F.col("key") != key).unionByName(one.select("key", value.cast("string").alias("value"), "expire_at"))
+    # An aggregate without keys gives one row, of nulls where the key is missing.
+    one = kv.where(F.col("key") == key).agg(F.max("value").alias("value"), F.max("expire_at").alias("expire_at"))
+    return kv.where(F.col("key") != key).unionByName(one.select(F.lit(key).alias("key"), value.cast("string").alias("value"), "expire_at"))
 
 
 def incr(kv: DataFrame, key: str, by: int = 1) -> DataFrame:
@@ -67,16 +73,22 @@ def strlen(kv: DataFrame, key: str) -> DataFrame:
 
 def getrange(kv: DataFrame, key: str, start: int, end: int) -> DataFrame:
     """Inclusive byte slice; negative places from the end. An end before the start of the text counts as the first byte."""
-    b = F.encode("value", "utf-8")
-    n = F.octet_length(b)
+    b, n = F.col("value").cast("binary"), F.octet_length("value")
     lo = F.greatest(F.lit(start) if start >= 0 else n + start, F.lit(0))
     hi = F.least(F.greatest(F.lit(end) if end >= 0 else n + end, F.lit(0)), n - 1)
-    return get(kv, key).select(F.when((lo <= hi) & (n > 0), F.decode(F.substr(b, lo + 1, hi - lo + 1), F.lit("utf-8"))).otherwise("").alias("value"))
+    return get(kv, key).select(F.when((lo <= hi) & (n > 0), F.substring(b, lo + 1, hi - lo + 1).cast("string")).otherwise("").alias("value"))
+
+
+def _bytes(least: int) -> str:
+    """SQL for the value's bytes, filled with zero bytes up to ``least``."""
+    b = "cast(coalesce(value, '') as binary)"
+    return f"rpad({b}, greatest(octet_length({b}), {least}), X'00')"
 
 
 def setrange(kv: DataFrame, key: str, at: int, text: str) -> DataFrame:
-    """Overwrites from ``at``; a gap is filled with zero bytes."""
-    return change(kv, key, F.overlay(F.rpad(F.coalesce("value", F.lit("")), F.greatest(F.length(F.coalesce("value", F.lit(""))), F.lit(at)), F.lit("\0")), F.lit(text), F.lit(at + 1)))
+    """Overwrites bytes from ``at``; a gap is filled with zero bytes."""
+    new = F.lit(text.encode().hex())
+    return change(kv, key, F.overlay(F.expr(_bytes(at)), F.unhex(new), F.lit(at + 1)).cast("string"))
 
 
 def getbit(kv: DataFrame, key: str, at: int) -> DataFrame:
@@ -86,12 +98,19 @@ def getbit(kv: DataFrame, key: str, at: int) -> DataFrame:
 
 
 def setbit(kv: DataFrame, key: str, at: int, bit: int) -> DataFrame:
-    digits = F.rpad(F.coalesce(F.array_join(F.transform(F.split(F.hex(F.encode("value", "utf-8")), ""), lambda h: F.lpad(F.conv(h, 16, 2), 4, "0")), ""), F.lit("")), F.greatest(F.length(F.hex(F.encode(F.coalesce("value", F.lit("")), "utf-8"))) * 4, F.lit((at // 8 + 1) * 8)), F.lit("0"))
-    new = F.overlay(digits, F.lit(str(bit)), F.lit(at + 1))
-    return change(kv, key, F.decode(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.length(new) / 4 - 1), lambda i: F.conv(F.substr(new, (i * 4 + 1).cast("int"), F.lit(4)), 2, 16)), "")), "utf-8"))
+    """Bit 0 is the highest of the first byte; the value grows by zero bytes."""
+    b, mask = _bytes(at // 8 + 1), 1 << 7 - at % 8
+    old = f"cast(conv(hex(substring({b}, {at // 8 + 1}, 1)), 16, 10) as int)"
+    new = f"({old} | {mask})" if bit else f"({old} & {255 - mask})"
+    return change(kv, key, F.expr(f"cast(overlay({b} placing unhex(lpad(hex({new}), 2, '0')) from {at // 8 + 1}) as string)"))
 
 
 def rename(table: DataFrame, old: str, new: str, only_new: bool = False) -> DataFrame:
+    """RENAME and, with ``only_new``, RENAMENX. A missing key and one name for both are errors."""
+    if old == new:
+        raise ValueError("source and destination are the same")
+    if table.where(F.col("key") == old).isEmpty():
+        raise ValueError("no such key")
     if only_new and not table.where(F.col("key") == new).isEmpty():
         return table
     return table.where(F.col("key") != new).withColumn("key", F.when(F.col("key") == old, new).otherwise(F.col("key")))
@@ -259,7 +278,8 @@ def srandmember(sets: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def zadd(z: DataFrame, new: DataFrame) -> DataFrame:
-    new = new.select("key", "member", "score")
+    """Upsert of scores; of a member given twice the last score counts."""
+    new = _last(new.select("key", "member", "score"), ["key", "member"], "score")
     return z.join(new, ["key", "member"], "left_anti").unionByName(new)
 
 
@@ -343,9 +363,15 @@ def hmget(hashes: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def hincrby(hashes: DataFrame, key: str, field: str, by: int) -> DataFrame:
-    old = F.coalesce(F.try_element_at("fields", F.lit(field)), F.lit("0")).cast("bigint")
-    changed = F.map_concat(F.map_filter("fields", lambda k, v: k != field), F.create_map(F.lit(field), (old + by).cast("string")))
-    return hashes.select("key", F.when(F.col("key") == key, changed).otherwise(F.col("fields")).alias("fields"))
+    """Adds to a field; a missing field or key starts from 0. No overflow check: 64 bits wrap."""
+    one = hashes.where(F.col("key") == key).agg(F.first("fields").alias("fields"))
+    fields = F.coalesce("fields", F.create_map().cast("map<string,string>"))
+    old = F.coalesce(F.try_element_at(fields, F.lit(field)), F.lit("0"))
+    number = F.when(old.rlike(r"^-?\d{1,19}$"), old.cast("decimal(38,0)") + F.lit(by).cast("decimal(38,0)")).otherwise(F.raise_error(F.lit("not an integer")).cast("decimal(38,0)"))
+    span = F.lit(str(2**63)).cast("decimal(38,0)")
+    wrapped = (F.pmod(number + span, span * 2) - span).cast("string")
+    changed = F.map_concat(F.map_filter(fields, lambda k, v: k != field), F.create_map(F.lit(field), wrapped))
+    return hashes.where(F.col("key") != key).unionByName(one.select(F.lit(key).alias("key"), changed.alias("fields")))
 
 
 def hdel(hashes: DataFrame, key: str, field: str) -> DataFrame:
@@ -396,6 +422,18 @@ def from_rows(df: DataFrame, key, member, kind: str) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.map_from_entries(F.collect_list(member)).alias("fields"))
 
 
-def to_rows(lists: DataFrame) -> DataFrame:
-    """A list as a table (pk, value)."""
-    return lists.select("key", F.posexplode("items").alias("pk", "value"))
+def to_rows(table: DataFrame) -> DataFrame:
+    """A structure as a table: of lists (key, pk, value), of hashes (key, pk, field, value), pk counting from 0; of sets and
+    sorted sets one row a member, numbered by member or by (score, member)."""
+    if "items" in table.columns:
+        return table.select("key", F.posexplode("items").alias("pk", "value"))
+    if "fields" in table.columns:
+        return table.select("key", F.posexplode(F.array_sort(F.map_entries("fields"))).alias("pk", "e")).select("key", "pk", F.col("e.key").alias("field"), F.col("e.value").alias("value"))
+    order = ["score", "member"] if "score" in table.columns else ["member"]
+    pk = F.row_number().over(Window.partitionBy("key").orderBy(*order)) - 1
+    return table.select("key", pk.alias("pk"), F.col("member").alias("value"), *order[:-1])
+
+
+def from_reply(spark, reply: list) -> DataFrame:
+    """The reply of a command as a table (pk, value), in its order."""
+    return spark.createDataFrame([(i, None if x is None else str(x)) for i, x in enumerate(reply)], "pk long, value string")

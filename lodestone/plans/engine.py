@@ -10,15 +10,17 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import split, to_sql
-from ..operators import dml
+from ..functions.expressions import columns_of, read_functions, split
+from ..functions.expressions import to_sql as _to_sql
+from ..operators import dml, ordering
 
 #: Type names match by prefix. INT is unsigned 32 bits, LONG unsigned 64 bits, all floats are 4 bytes.
 _TYPES = (("INT", "bigint"), ("BIGINT", "decimal(20,0)"), ("LONG", "decimal(20,0)"), ("U128", "struct<hi:decimal(20,0),lo:decimal(20,0)>"), ("FLOAT", "float"), ("REAL", "float"), ("DOUBLE", "float"), ("CHAR", "string"), ("TEXT", "string"), ("BLOB", "string"), ("BYTE", "string"), ("BINARY", "string"), ("LUATABLE", "string"), ("DOCUMENT", "string"))
 _NAME = r"[A-Za-z_][\w]*"
+_SUBQUERY = re.compile(r"(.+?)\s+IN\s*\(\s*((?:SELECT|SCAN)\b.*)\)\s*$", re.I | re.S)
 
 
 class DialectError(ValueError):
@@ -63,6 +65,8 @@ class Engine:
         self.prepared: dict[str, str] = {}
         self.cursors: dict[str, int] = {}
         self.functions: dict[str, Callable] = {}
+        self.macros: dict[str, tuple[list[str], str]] = {}
+        self.function_indexes: dict[str, tuple[str, DataFrame]] = {}  # name -> table, rows (value, pk)
         self.log: list[str] = []
         self.changes = 0
 
@@ -90,10 +94,77 @@ class Engine:
     def call(self, name: str, *args):
         return self.functions[name](*args)
 
+    def _expr(self, text: str, docs: dict[str, str] | None = None, bare: dict[str, str] | None = None) -> str:
+        return _to_sql(text, docs, bare, self.macros)
+
+    def _interpret(self, text: str) -> list[str]:
+        """INTERPRET LUA 'function f(a) return .. end' or INTERPRET LUAFILE path: functions as expressions, without Python."""
+        m = re.match(r"INTERPRET\s+(LUA|LUAFILE)\s+(.*)$", text, re.I | re.S)
+        if not m:
+            raise DialectError("INTERPRET LUA source or LUAFILE path")
+        source = m[2].strip()
+        if m[1].upper() == "LUAFILE":
+            source = "\n".join(r.value for r in self.spark.read.option("wholetext", True).text(source.strip("'")).collect())
+        elif source[0] in "'\"":
+            source = source[1:-1].replace("''", "'") if source[0] == "'" else source[1:-1]
+        new = read_functions(source)
+        self.macros |= new
+        return list(new)
+
+    def _luafunc(self, text: str):
+        """LUAFUNC f a b: one call. Digits are numbers, quoted or other words texts; a Python function may give rows (a list)."""
+        _, name, *args = re.findall(r"'(?:[^'\\]|\\.|'')*'|\S+", text)
+        if name in self.macros:
+            args = [a if a[0] == "'" or re.fullmatch(r"-?\d+(\.\d+)?", a) else f"'{a}'" for a in args]
+            return self._value(f"{name}({', '.join(args)})")
+        if name not in self.functions:
+            raise DialectError(f"no function {name}")
+        return self.functions[name](*(_argument(a) for a in args))
+
+    def _value(self, text: str):
+        """The value of an expression without columns."""
+        m = re.match(rf"({_NAME})\((.*)\)$", text, re.S)
+        if m and m[1] in self.functions and m[1] not in self.macros:
+            return self.functions[m[1]](*(_argument(a) for a in split(m[2]) if a))
+        return self.spark.range(1).select(F.expr(self._expr(text))).first()[0]
+
+    def _message(self, text: str) -> None:
+        """MESSAGE statement: runs it and gives no reply."""
+        self.sql(text.split(None, 1)[1])
+
+    def function_index(self, name: str, table: str, rows: DataFrame) -> None:
+        """An index kept by code: rows (value, pk) that ``name() = value`` in a condition on ``table`` finds."""
+        self.table(table)
+        self.function_indexes[name] = (table.lower(), rows.select("value", "pk"))
+
+    def set_index(self, name: str, value, pk) -> None:
+        t, rows = self.function_indexes[name]
+        new = self.spark.createDataFrame([(value, pk)], rows.schema)
+        self.function_indexes[name] = (t, self._unset(rows, value, pk).unionByName(new))
+
+    def delete_index(self, name: str, value, pk) -> None:
+        t, rows = self.function_indexes[name]
+        self.function_indexes[name] = (t, self._unset(rows, value, pk))
+
+    def update_index(self, name: str, old, new, pk) -> None:
+        self.delete_index(name, old, pk)
+        self.set_index(name, new, pk)
+
+    @staticmethod
+    def _unset(rows: DataFrame, value, pk) -> DataFrame:
+        return rows.where(~((F.col("value") == value) & (F.col("pk") == pk)))
+
+    def extremes(self, table: str, column: str | None = None) -> DataFrame:
+        """Least and greatest key of a table, or value of a column."""
+        t = self.table(table)
+        c = column or t.pk
+        return t.df.agg(F.min(c).alias("least"), F.max(c).alias("greatest"))
+
     # -- statements -----------------------------------------------------------------------------------------
 
     def sql(self, text: str):
-        text = " ".join(text.strip().rstrip(";").split("\n")).strip()
+        # White space between words counts as one blank; in literals it stays.
+        text = re.sub(r"('(?:[^'\\]|\\.|'')*')|\s+", lambda m: m[1] or " ", text.strip()).rstrip("; ").strip()
         verb = text.split(None, 1)[0].upper()
         run = getattr(self, "_" + verb.lower(), None)
         if run is None or verb not in _VERBS:
@@ -107,8 +178,10 @@ class Engine:
         if not scan and not q.where:
             raise DialectError("SELECT needs WHERE; SCAN does not")
         froms = [_from(x) for x in split(q.tables)]
-        if q.order and q.columns.replace(" ", "").upper() == "COUNT(*)":
+        counted = q.columns.replace(" ", "").upper() == "COUNT(*)"
+        if q.order and counted:
             raise DialectError("COUNT(*) takes no ORDER BY")
+        bare: dict[str, str] = {}
         if len(froms) == 1:
             t = self.table(froms[0][0])
             docs = {c: c for c in t.documents} | {f"{a}.{c}": c for a in froms[0] for c in t.documents}
@@ -117,27 +190,30 @@ class Engine:
             items = [(c, F.col(c)) for c in names] if q.columns.strip() == "*" else None
             key: list = [F.col(t.pk)]
         else:
-            df, docs, key = self._joined(froms, q.where, scan)
+            df, docs, key, bare = self._joined(froms, q.where, scan)
             every = [(a, c) for n, a in froms for c in self.table(n).columns]
             items = None
             if q.columns.strip() == "*":
                 items = [(self._joined_name(froms, a, c), F.col(f"{a}.{c}")) for a, c in every]
-        if q.columns.replace(" ", "").upper() == "COUNT(*)":
+        if counted:
+            offset = self._cursor(q.offset, q.limit)
+            df = df.offset(offset) if offset else df
+            df = df.limit(q.limit) if q.limit is not None else df
             return df.agg(F.count("*").alias("count"))
         if items is None:
             items = []
             for x in split(q.columns):
                 if m := re.fullmatch(rf"({_NAME})\.pos\(\)", x):
-                    order = self._index(m[1]).columns[0]
-                    items.append((f"{m[1]}_pos", F.row_number().over(Window.orderBy(order))))
+                    df = ordering.with_rank(df, [self._index(m[1]).columns[0], *key], f"{m[1]}_pos")
+                    items.append((f"{m[1]}_pos", F.col(f"{m[1]}_pos").cast("int")))
                 elif m := re.fullmatch(rf"({_NAME})\.\*", x):
                     n = next(n for n, a in froms if m[1] in (a, n))
                     items += [(self._joined_name(froms, m[1], c), F.col(f"{m[1]}.{c}")) for c in self.table(n).columns]
                 else:
                     simple = re.fullmatch(rf"(?:({_NAME})\.)?({_NAME})", x)
                     name = self._joined_name(froms, simple[1], simple[2]) if simple and simple[1] and len(froms) > 1 else simple[2] if simple and (not simple[1] or simple[1] not in docs) else x.replace(" ", "")
-                    items.append((name, F.expr(to_sql(x, docs))))
-        order = [F.expr(to_sql(x, docs)).desc() if d else F.expr(to_sql(x, docs)).asc() for x, d in q.order]
+                    items.append((name, F.expr(self._expr(x, docs, bare))))
+        order = [F.expr(self._expr(x, docs, bare)).desc() if d else F.expr(self._expr(x, docs, bare)).asc() for x, d in q.order]
         if order:
             df = df.orderBy(*order, *key)
         elif q.limit is not None and len(froms) == 1:
@@ -191,60 +267,97 @@ class Engine:
             df = self._condition(df, c, docs)
         return df
 
-    def _condition(self, df: DataFrame, c: str, docs: dict[str, str]) -> DataFrame:
+    def _condition(self, df: DataFrame, c: str, docs: dict[str, str], bare: dict[str, str] | None = None) -> DataFrame:
         if m := re.match(rf"({_NAME})\.pos\(\)\s*(=|BETWEEN)\s*(\d+)(?:\s+AND\s+(\d+))?$", c, re.I):
             by = self._index(m[1]).columns[0]
             low, n = int(m[3]), 1 if m[2] == "=" else int(m[4]) - int(m[3])
             return df.orderBy(by).offset(low).limit(max(n, 0))
-        if m := re.match(r"(.+?)\s+IN\s*\(\s*((?:SELECT|SCAN)\b.*)\)\s*$", c, re.I | re.S):
+        if (m := re.match(rf"({_NAME})\(\)\s*={{1,2}}\s*(.+)$", c)) and m[1] in self.function_indexes:
+            name, rows = self.function_indexes[m[1]]
+            hit = rows.where(F.col("value") == F.expr(self._expr(m[2]))).select(F.col("pk").alias("in_value")).distinct()
+            return df.join(hit, F.col(self.table(name).pk) == F.col("in_value"), "left_semi")
+        if m := _SUBQUERY.match(c):
             sub = self.sql(m[2])
             sub = sub.select(F.col(f"`{sub.columns[0]}`").alias("in_value")).distinct()
-            return df.join(sub, F.expr(to_sql(m[1], docs)) == F.col("in_value"), "left_semi")
-        if m := re.match(r"(.+?)\s+(BETWEEN\s+.+?\s+AND\s+.+|IN\s*\(.*\))$", c, re.I | re.S):
-            if docs and "get_json_object" in to_sql(m[1], docs) and re.search(r"[\s(]-?\d", m[2]):
-                return df.where(f"cast({to_sql(m[1], docs)} as double) {m[2]}")
-            return df.where(f"{to_sql(m[1], docs)} {m[2]}")
-        if docs and (m := re.match(r"(\S+?)\s*(=|!=|<=|>=|<|>)\s*(-?[\d.]+)$", c)) and "get_json_object" in to_sql(m[1], docs):
-            return df.where(f"cast({to_sql(m[1], docs)} as double) {m[2]} {m[3]}")
-        if m := re.match(rf"({_NAME})\s*(=|!=)\s*(-?\d*\.\d+)$", c):
-            if dict(df.dtypes).get(m[1]) == "float":
-                return df.where(f"{m[1]} {m[2]} cast({m[3]} as float)")
-        done = F.expr(to_sql(c, docs))
+            return df.join(sub, F.expr(self._expr(m[1], docs, bare)) == F.col("in_value"), "left_semi")
+        return df.where(self._predicate(c, docs, bare, dict(df.dtypes)))
+
+    def _predicate(self, c: str, docs: dict[str, str], bare: dict[str, str] | None, types: dict[str, str]) -> Column:
+        if (m := re.match(rf"({_NAME})\s*(=|!=)\s*(-?\d*\.\d+)$", c)) and types.get(m[1]) == "float":
+            return F.expr(f"{m[1]} {m[2]} cast({m[3]} as float)")
+        done = F.expr(self._expr(c, docs, bare))
         # A function as condition: numbers count as true unless they are 0.
-        return df.where(done if re.search(r"[=<>]|\b(and|or|not|like|is)\b", c, re.I) else done.cast("boolean"))
+        return done if re.search(r"[=<>]|\b(and|or|not|like|is|in|between)\b", re.sub(r"'[^']*'", "", c), re.I) else done.cast("boolean")
 
-    def _joined(self, froms: list[tuple[str, str]], where: str, scan: bool) -> tuple[DataFrame, dict, list]:
+    def _where(self, t: Table, where: str) -> Column | None:
+        """The whole condition as a column, if it needs no other table and no rank."""
+        docs = {c: c for c in t.documents}
+        out = F.lit(True)
+        for c in conjuncts(where):
+            if _SUBQUERY.match(c) or ".pos()" in c or any(f"{n}()" in c for n in self.function_indexes):
+                return None
+            out = out & self._predicate(c, docs, None, dict(t.df.dtypes))
+        return F.coalesce(out, F.lit(False))
+
+    def _joined(self, froms: list[tuple[str, str]], where: str, scan: bool) -> tuple[DataFrame, dict, list, dict]:
+        """(joined rows, documents, keys, bare column names with their alias): every condition is a join key, a filter of one
+        table before the join, or a filter of the joined rows."""
         owner = {a: n for n, a in froms}
+        if len(owner) < len(froms):
+            raise DialectError("each table of a join needs its own alias")
+        homes: dict[str, list[str]] = {}
+        for a, n in owner.items():
+            for c in self.table(n).columns:
+                homes.setdefault(c, []).append(a)
+        bare = {c: f"{a[0]}.{c}" for c, a in homes.items() if len(a) == 1}
         docs = {f"{a}.{c}": f"{a}.{c}" for n, a in froms for c in self.table(n).documents}
-        equal, rest = [], []
+        docs |= {c: x for c, x in bare.items() if x in docs}
+
+        def home(name: str) -> str:
+            head, _, rest = name.partition(".")
+            if head in owner and rest:
+                if rest.split(".")[0] not in self.table(owner[head]).types:
+                    raise DialectError(f"no column {name}")
+                return head
+            if len(homes.get(head, ())) > 1:
+                raise DialectError(f"{head} is a column of {' and '.join(homes[head])}")
+            if head not in homes:
+                raise DialectError(f"no column {name}")
+            return homes[head][0]
+
+        equal, alone, rest = [], {a: [] for a in owner}, []
         for c in conjuncts(where):
-            m = re.match(rf"({_NAME})\.({_NAME})\s*(=|!=|<=|>=|<|>)\s*({_NAME})\.({_NAME})$", c)
-            if m and m[1] in owner and m[4] in owner:
-                if m[3] != "=":
-                    raise DialectError("joins are equi-joins")
-                equal.append((m[1], m[2], m[4], m[5]))
+            sub = _SUBQUERY.match(c)
+            used = {home(x) for x in columns_of(sub[1] if sub else c) if x.split(".")[-1] != "pos"}
+            m = re.match(rf"({_NAME}(?:\.{_NAME})?)\s*={{1,2}}\s*({_NAME}(?:\.{_NAME})?)$", c)
+            if m and len(used) == 2 and not any(x in docs for x in (m[1], m[2])):
+                equal.append([(home(x), self._expr(x, docs, bare)) for x in (m[1], m[2])])
+            elif len(used) == 1:
+                alone[used.pop()].append(c)
             else:
                 rest.append(c)
         # Conditions on one table go to it before the join; Catalyst picks order and physical join.
         frames = {}
         for a, n in owner.items():
             df = self.table(n).df.alias(a)
-            for c in [c for c in rest if set(re.findall(rf"\b({_NAME})\.", re.sub(r"'[^']*'", "", c))) & set(owner) == {a}]:
-                df = self._condition(df, c, docs)
+            for c in alone[a]:
+                df = self._condition(df, c, docs, bare)
             frames[a] = df.alias(a)
         done, todo = [froms[0][1]], [a for _, a in froms[1:]]
         df = frames[done[0]]
         while todo:
             for a in todo:
-                on = [F.col(f"{p}.{x}") == F.col(f"{q}.{y}") for p, x, q, y in equal if (p == a and q in done) or (q == a and p in done)]
+                on = [F.expr(x) == F.expr(y) for (p, x), (q, y) in equal if (p == a and q in done) or (q == a and p in done)]
                 if on:
                     df = df.join(frames[a], on)
                     done.append(a)
                     todo.remove(a)
                     break
             else:
-                raise DialectError("tables do not form one chain; there is no cross join")
-        return df, docs, [F.col(f"{a}.{self.table(n).pk}") for n, a in froms]
+                raise DialectError("tables do not form one chain of equalities; there is no cross join")
+        for c in rest:
+            df = self._condition(df, c, docs, bare)
+        return df, docs, [F.col(f"{a}.{self.table(n).pk}") for n, a in froms], bare
 
     # -- rows -----------------------------------------------------------------------------------------------
 
@@ -276,7 +389,7 @@ class Engine:
                 v = rows[0][columns.index(c)]
                 t.types[c] = "string" if v.startswith("'") else "float" if "." in v else "decimal(20,0)"
                 t.df = t.df.withColumn(c, F.lit(None).cast(t.types[c]))
-        new = dml.literal_rows(self.spark, rows, columns, t.types, t.pk, t.df, t.documents)
+        new = dml.literal_rows(self.spark, rows, columns, t.types, t.pk, t.df, t.documents, self._value)
         n = len(rows)
         for i in t.indexes.values():
             if i.unique:
@@ -302,11 +415,11 @@ class Engine:
             docs = {d: d for d in t.documents}
             if "." in c and c.split(".")[0] in t.documents:
                 head, path = c.split(".", 1)
-                out[head] = dml.json_set(head, path, to_sql(e, docs))
+                out[head] = dml.json_set(head, path, self._expr(e, docs))
             elif c not in t.types:
                 raise DialectError(f"no column {c}")
             else:
-                out[c] = dml.guarded(c, e, t.types[c], docs)
+                out[c] = dml.guarded(c, e, t.types[c], docs, self.macros)
         return out
 
     def _update(self, text: str) -> int:
@@ -314,13 +427,18 @@ class Engine:
         if not m:
             raise DialectError("UPDATE t SET .. WHERE ..")
         t, q = self.table(m[1]), _tail(m[3])
-        hit = self._hit(t, q)
-        sets = self._sets(t, m[2])
+        hit, sets = self._hit(t, q), self._sets(t, m[2])
         if t.pk in sets and hit.limit(2).count() > 1:
             raise DialectError("a primary key changes for one row at a time")
         self._fire(t, "PREUPDATE", hit)
-        df, n = dml.update(t.df, hit, t.pk, sets)
-        self._fire(t, "POSTUPDATE", df.join(hit.select(t.pk), t.pk, "left_semi"))
+        plain = self._where(t, q.where) if not q.order and q.limit is None else None
+        if plain is not None:  # no join: the condition picks the rows in one narrow pass
+            n = hit.count()
+            df = dml.update_where(t.df, plain, sets)
+        else:
+            df, n = dml.update(t.df, hit, t.pk, sets)
+        if any(when == "POSTUPDATE" for when, _ in t.triggers.values()):
+            self._fire(t, "POSTUPDATE", df.join(hit.select(t.pk), t.pk, "left_semi"))
         self._store(t, df)
         return n
 
@@ -332,14 +450,15 @@ class Engine:
         hit = self._hit(t, q)
         n = hit.count()
         self._fire(t, "DELETE", hit)
-        self._store(t, dml.delete(t.df, hit, t.pk))
+        plain = self._where(t, q.where) if not q.order and q.limit is None else None
+        self._store(t, t.df.where(~plain) if plain is not None else dml.delete(t.df, hit, t.pk))
         return n
 
     def _hit(self, t: Table, q: Query) -> DataFrame:
         docs = {c: c for c in t.documents}
         df = self._filtered(t, t.df, q.where, docs, False)
         if q.order or q.limit is not None:
-            df = df.orderBy(*[F.expr(to_sql(x, docs)).desc() if d else F.expr(to_sql(x, docs)).asc() for x, d in q.order], t.pk)
+            df = df.orderBy(*[F.expr(self._expr(x, docs)).desc() if d else F.expr(self._expr(x, docs)).asc() for x, d in q.order], t.pk)
             offset = self._cursor(q.offset, q.limit)
             df = df.offset(offset) if offset else df
             df = df.limit(q.limit) if q.limit is not None else df
@@ -348,6 +467,8 @@ class Engine:
     def _evict(self, text: str) -> int:
         _, name, *keys = text.split()
         t = self.table(name)
+        if not t.dirty:
+            raise DialectError("EVICT is for dirty tables: ALTER TABLE t SET DIRTY")
         self._store(t, t.df.where(~F.col(t.pk).cast("string").isin([k.strip("',") for k in keys])))
         return len(keys)
 
@@ -397,7 +518,11 @@ class Engine:
             t.df = t.df.withColumn(c, F.lit(0).cast("bigint"))
             t.indexes[f"{t.name}_{c}"] = Index(f"{t.name}_{c}", (c,))
             return t.indexes[f"{t.name}_{c}"]
-        raise DialectError("CREATE TABLE, INDEX, LRUINDEX or LFUINDEX")
+        if m := re.match(rf"CREATE\s+LUATRIGGER\s+({_NAME})\s+ON\s+({_NAME})\s+(INSERT|DELETE|PREUPDATE|POSTUPDATE)\s+({_NAME})(?:\(.*\))?$", text, re.I):
+            if m[4] not in self.functions:
+                raise DialectError(f"no function {m[4]}")
+            return self.trigger(m[1], m[2], m[3], self.functions[m[4]])
+        raise DialectError("CREATE TABLE, INDEX, LRUINDEX, LFUINDEX or LUATRIGGER")
 
     def trigger(self, name: str, table: str, kind: str, f: Callable[[DataFrame], None]) -> None:
         """INSERT, DELETE, PREUPDATE or POSTUPDATE: ``f`` gets the rows concerned as a DataFrame."""
@@ -405,6 +530,9 @@ class Engine:
 
     def _drop(self, text: str) -> None:
         _, kind, name = text.split()
+        if kind.upper() == "INDEX" and name in self.function_indexes:
+            del self.function_indexes[name]
+            return
         if kind.upper() == "TABLE":
             self.table(name)
             del self.tables[name.lower()]
@@ -447,8 +575,13 @@ class Engine:
         self.prepared[m[1]] = m[2]
 
     def _execute(self, text: str) -> DataFrame:
-        _, name, *values = text.split()
+        _, name, *values = re.findall(r"'(?:[^'\\]|\\.|'')*'|\S+", text)
+        if name not in self.prepared:
+            raise DialectError(f"no prepared statement {name}")
         body = self.prepared[name]
+        places = {int(x) for x in re.findall(r"\$(\d+)", body)}
+        if places and max(places) > len(values):
+            raise DialectError(f"{name} takes {max(places)} values")
         return self.sql(re.sub(r"\$(\d+)", lambda m: values[int(m[1]) - 1], body))
 
     def _dump(self, text: str):
@@ -465,7 +598,7 @@ class Engine:
 
 
 _LOGGED = {"INSERT", "REPLACE", "UPDATE", "DELETE", "CREATE", "DROP", "ALTER", "EVICT"}
-_VERBS = _LOGGED | {"SELECT", "SCAN", "DESC", "SHOW", "EXPLAIN", "PREPARE", "EXECUTE", "DUMP"}
+_VERBS = _LOGGED | {"SELECT", "SCAN", "DESC", "SHOW", "EXPLAIN", "PREPARE", "EXECUTE", "DUMP", "INTERPRET", "LUAFUNC", "MESSAGE"}
 
 
 @dataclass
@@ -525,13 +658,23 @@ def _parse_select(text: str) -> Query:
     return q
 
 
+def _argument(text: str):
+    if text[0] == "'":
+        return text[1:-1].replace("''", "'")
+    if re.fullmatch(r"-?\d+", text):
+        return int(text)
+    return float(text) if re.fullmatch(r"-?\d+\.\d+", text) else text
+
+
 def _from(text: str) -> tuple[str, str]:
     name, *alias = text.split()
     return name, alias[-1] if alias else name
 
 
 def conjuncts(where: str) -> list[str]:
-    """The conditions of an AND list; the AND of BETWEEN belongs to it."""
+    """The conditions of an AND list; the AND of BETWEEN belongs to it. With an OR outside brackets it is one condition."""
+    if where and _cut(where, "OR")[1]:
+        return [where]
     out = []
     while where:
         head, where = _cut(where, "AND")

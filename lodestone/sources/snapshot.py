@@ -37,3 +37,60 @@ def replay(engine, statements: list[str]) -> None:
     """Runs a statement log again."""
     for s in statements:
         engine.sql(s)
+
+
+def definitions(engine) -> list[str]:
+    """The statements that make the tables and indexes again, empty."""
+    kinds = {"bigint": "INT", "int": "INT", "decimal(20,0)": "LONG", "float": "FLOAT", "double": "FLOAT", "string": "TEXT"}
+    out = []
+    for t in engine.tables.values():
+        parts = [f"{c} {'LUATABLE' if c in t.documents else 'U128' if t.types[c].startswith('struct') else kinds.get(t.types[c], 'TEXT')}" for c in t.columns]
+        out.append(f"CREATE TABLE {t.name} ({', '.join(parts)})")
+        out += [f"CREATE {'UNIQUE ' * i.unique}INDEX {i.name} ON {t.name} ({', '.join(i.columns)}){f' ORDER BY {i.order_by}' if i.order_by else ''}" for i in t.indexes.values() if not set(i.columns) & t.hidden]
+    return out
+
+
+def rewrite_log(engine, path: str) -> None:
+    """The least log that makes the present tables: definitions, then one INSERT a row, as text below ``path``.
+
+    Rows stay in Spark; only the definitions, one for each table and index, come from the driver. The engine's own log starts anew.
+    """
+    spark = engine.spark
+    heads = definitions(engine)
+    spark.createDataFrame([(i, s) for i, s in enumerate(heads)], "n long, value string").orderBy("n").select("value").coalesce(1).write.mode("overwrite").text(f"{path}/definitions")
+    for t in engine.tables.values():
+        script(t, t.name).write.mode("overwrite").text(f"{path}/rows/{t.name}")
+    engine.log.clear()
+
+
+def read_rewritten(engine, path: str) -> None:
+    """Runs a rewritten log: definitions on the driver, rows as one plan for each table."""
+    replay(engine, [r.value for r in engine.spark.read.text(f"{path}/definitions").collect()])
+    for t in engine.tables.values():
+        rows = engine.spark.read.text(f"{path}/rows/{t.name}", wholetext=False)
+        inner = F.regexp_extract("value", r"(?s)VALUES \((.*)\);$", 1)
+        # Cells: quoted texts with doubled quotes, or bare numbers and NULL.
+        cells = F.regexp_extract_all(inner, F.lit(r"('(?:[^']|'')*'|[^,]+)"), F.lit(1))
+        cell = lambda i: F.get(cells, F.lit(i))  # noqa: E731, B023
+        plain = [F.when(cell(i) == "NULL", None).when(cell(i).startswith("'"), F.replace(F.substring(cell(i), F.lit(2), F.length(cell(i)) - 2), F.lit("''"), F.lit("'"))).otherwise(cell(i)).cast(t.types[c]).alias(c) for i, c in enumerate(t.columns)]
+        t.df = rows.select(*plain)
+
+
+def append_log(engine, path: str) -> int:
+    """Moves the engine's statements to the log below ``path``, after those there; returns how many."""
+    spark = engine.spark
+    before = 0 if not _exists(spark, path) else spark.read.parquet(path).count()
+    rows = [(before + i, s) for i, s in enumerate(engine.log)]
+    if rows:
+        spark.createDataFrame(rows, "n long, statement string").coalesce(1).write.mode("append").parquet(path)
+    engine.log.clear()
+    return len(rows)
+
+
+def read_log(spark, path: str) -> list[str]:
+    return [r.statement for r in spark.read.parquet(path).orderBy("n").toLocalIterator()]
+
+
+def _exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
