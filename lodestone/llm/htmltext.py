@@ -9,7 +9,9 @@ template is made of the widest valid class that stands once on a page: the most
 pages. A text token of a valid class nests in the template if it stands in one gap of the root, the same on all pages.
 Nested text tokens are the template's fixed parts, all other blocks fill its slots.
 
-What is extracted: blocks under ``article`` (else ``main``, else any slot of the template), never those under
+Where a page's own markup names its slot, that slot is taken as it is and the template has no say in it: a passage that
+articles share is content. Other pages get the slots of the template. What is extracted: blocks under ``article``
+(else ``main``, else any slot of the template), never those under
 navigation, header, footer, aside, form, script or style elements, or under elements whose class or id names
 as a whole a menu, sidebar, notice, advert or reader comment. An ``article`` or ``main`` in such an element, outside any other
 article, is taken if the page has none elsewhere, unless it is hidden. Text inside an ``article`` or ``main`` element is content
@@ -29,17 +31,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*[\"'][^\"']*display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_SLOT = re.compile(r"<(?:article|main)\b", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object", "math"}
 _VOID = {"area", "base", "col", "embed", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 _DROP = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button"}
-_DROP_WORDS = set("ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr nav navbar navigation menu sidebar side footer header masthead breadcrumb breadcrumbs comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager skip".split())
+_DROP_WORDS = set("ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr nav navbar navigation menu sidebar side footer header masthead breadcrumb breadcrumbs comment comments commentlist commentform commenter reply replies respond disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager skip".split())
 #: Words that say where a dropped part stands or what holds it: 'site-header' and 'cookie-bar' are dropped, 'has-sidebar' and 'related-work' are not.
 _PLACE_WORDS = set("site page global top bottom left right inner outer upper lower primary secondary main wrap wrapper box bar container area section block list item items link links button buttons menus content text title body form panel slot unit zone icon icons to x y z a b c".split())
 #: A class name that ends in one of these is dropped whatever stands before it, but for a word of layout.
@@ -47,8 +48,16 @@ _DROP_ENDS = set("ads advert adverts advertisement cookies gdpr navbar navigatio
 _LAYOUT_WORDS = set("has with without no is layout body page column columns col".split())
 #: Areas by which a page names its own content.
 _NAMED_SLOTS = ("article", "main", "inner")
-#: These end at the next block of their kind without an end tag.
-_LOOSE = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "thead", "tbody"}
+#: Elements that end without an end tag where one of these begins: the tags that it closes, and the element that bounds the search.
+_CELLS, _ROWS = {"td", "th"}, {"tr", "td", "th"}
+_CLOSES = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    **dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, {"dl"})),
+    **dict.fromkeys(("td", "th"), (_CELLS, {"tr", "table"})),
+    "tr": (_ROWS, {"table"}),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot"} | _ROWS, {"table"})),
+    "option": ({"option"}, {"select"}),
+}
 
 
 def _furniture(name: str) -> bool:
@@ -73,61 +82,89 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
     """(path, area, text) of each non-empty block in page order; area: article, main, inner (article or main in a dropped element), drop or "" (elsewhere)."""
     page = page or ""
     out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str]] = []  # (tag, area) of open elements that hold blocks
+    #: (tag, area, inline) of open elements; inline ones only if they are left out: 1, or 2 if no end tag follows.
+    stack: list[tuple[str, str, int]] = []
+    lower = page.lower()
+    last_end: dict[str, int] = {}
     parts: list[str] = []
-    loose: tuple[str, bool] | None = None
-
-    def area() -> str:
-        here = "drop" if loose and loose[1] else stack[-1][1] if stack else ""
-        return "drop" if here == "hidden" else here
 
     def flush() -> None:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((">".join([t for t, _ in stack] + ([loose[0]] if loose else [])), area(), text))
-
-    at, n, skip = 0, len(page), 0
+                area = stack[-1][1] if stack else ""
+                out.append((">".join(t for t, _, inline in stack if not inline), "drop" if area == "hidden" else area, text))
+
+    def close(tags: set[str], bounds: set[str]) -> None:
+        """Ends the outermost of ``tags`` that is open within the nearest of ``bounds``."""
+        cut = len(stack)
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in bounds:
+                break
+            if stack[i][0] in tags:
+                cut = i
+        del stack[cut:]
+
+    def end_paragraph() -> None:
+        i = len(stack) - 1
+        while i >= 0 and stack[i][2]:
+            i -= 1
+        if i >= 0 and stack[i][0] == "p":
+            del stack[i:]
+
+    at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
+        until = m.start() if m else n
+        if until > at and not (stack and stack[-1][2]):
+            parts.append(page[at:until])
         if m is None:
-            parts.append(page[at:])
             break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag, end, attrs = m[2].lower(), bool(m[1]), m[3] or ""
+        alone = attrs.endswith("/") and not re.search(r"=\s*[^\s\"']*/$", attrs)
         if tag in _RAW:
-            if not end and not attrs.endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else n
+            if not end and not alone:
+                shut = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = shut.end() if shut else n
             continue
-        if tag in _INLINE or tag in _VOID:
-            if not end and _unwanted(tag, attrs) and tag not in _VOID:
-                # An unwanted inline element is left out to its end tag.
-                close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close and not _SLOT.search(page, at, close.start()) else at
+        if tag in _VOID:
+            continue
+        if tag in _INLINE:
+            # An inline element that is left out ends at its own end tag, others of its name inside it counted.
+            if end:
+                if stack and stack[-1][2] and stack[-1][0] == tag:
+                    stack.pop()
+            elif not alone and (_unwanted(tag, attrs) or stack and stack[-1][2] and stack[-1][0] == tag):
+                if tag not in last_end:
+                    last_end[tag] = lower.rfind(f"</{tag}")
+                stack.append((tag, "hidden" if _HIDDEN.search(attrs) or stack and stack[-1][1] == "hidden" else "drop", 1 if last_end[tag] >= at else 2))
             continue
         if tag in ("br", "hr"):
-            parts.append(" ")
+            if not (stack and stack[-1][2]):
+                parts.append(" ")
             continue
         flush()
-        if tag in _LOOSE:
-            loose = None if end else (tag, _unwanted(tag, attrs))
-        elif end:
-            loose = None
+        if end:
+            bounds = _CLOSES[tag][1] if tag in _CLOSES else set()
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                if stack[i][0] == tag and not stack[i][2]:
                     del stack[i:]
                     break
-        elif not attrs.endswith("/"):
-            loose = None
+                if stack[i][0] in bounds:
+                    break
+        elif not alone:
+            while stack and stack[-1][2] == 2:
+                stack.pop()
+            end_paragraph()
+            if tag in _CLOSES:
+                close(*_CLOSES[tag])
             outer = stack[-1][1] if stack else ""
             if tag in ("article", "main"):
-                swallowed = outer == "drop" and not any(a == "article" for _, a in stack)
+                swallowed = outer == "drop" and not any(a == "article" for _, a, _ in stack)
                 inner = "inner" if swallowed else outer if outer in ("article", "drop", "hidden", "inner") else tag
             elif outer in ("drop", "hidden") or tag in ("html", "body") or not _unwanted(tag, attrs):
                 inner = outer
@@ -135,7 +172,7 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
                 inner = "hidden" if _HIDDEN.search(attrs) else "drop"
             if outer == "drop" and tag not in ("html", "body", "article", "main") and _HIDDEN.search(attrs):
                 inner = "hidden"
-            stack.append((tag, inner))
+            stack.append((tag, inner, 0))
     flush()
     return out
 

@@ -40,6 +40,24 @@ def test_op2_returns_every_page(spark, sf_dir):
     assert sum(r.n_chars > 0 for r in rows) > 0.9 * len(rows)
 
 
+def test_furniture_inside_articles():
+    def text(html):
+        return " ".join(b[2] for b in htmltext._content(htmltext.blocks(html)))
+
+    keep = "<p>One.</p>%s<p>Two.</p>"
+    for bad in (
+        "<ol class='commentlist'><li>x</li></ol>", "<ul><li class='ad'><div>x</div></li></ul>", "<table><tr class='advert'><td>x</td></tr></table>", "<div class='adBanner'>x</div>",
+        "<p><span class='ad'>x <span>y</span> z</span></p>", "<a class='ad'><div>x</div></a>", "<span class=ad>x", "<div hidden>x</div>", "<ul><li class=ad>x<li class=ad>y</ul>", "<form>x</form>", "<nav><p>x</nav>",
+    ):
+        assert text(f"<article>{keep % bad}</article>") == "One. Two.", bad
+    assert text("<article>" + keep % "<div class='share-prices'><p>Up.</p></div>" + "</article>") == "One. Up. Two."
+    assert text("<article><p title=it's>Is</p><p data-x='a>b'>it</p><p id=\"q'\">'so'?</article>") == "Is it 'so'?"
+    assert text("<article>foo<span class=ad>x</span>bar <b>b</b>az</article>") == "foobar baz"
+    assert text("<article><ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table><dl><dt>h<dd>i</dl></article>") == "a b c d e f g h i"
+    assert text("<article><p>a<p>b<div>c</div></article><footer>x</footer>") == "a b c"
+    assert text("<article><a href=/x/>a</a> b<br/>c</article>") == "a b c"
+
+
 def judged(url):
     if not url or "://" not in url:
         return "", "", None, None
