@@ -155,10 +155,15 @@ def _links(usable: DataFrame, least: float, recall: float, sample: int, block: i
     placed = usable.select("label", "rep", "copies", "wire").mapInArrow(assign, f"label string, rep long, copies long, wire {dict(usable.dtypes)['wire']}, cell int, visits array<int>")
     placed = common.written(placed, "multiindex-placed")
     sizes = placed.groupBy("label", "cell").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
+    # Joined by a broadcast while they are few (cells are, labels need not be), so that a common cell is not dealt to one task.
+    sizes = common.written(sizes, "multiindex-sizes")
+    sizes = common.broadcast_if_small(sizes, sizes.count())
     members = placed.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
     # A query goes to each block of each visited cell. Blocks hold about ``block`` members; their queries are dealt to slices.
     asks = placed.select("label", "rep", "copies", "wire", F.col("cell").alias("home"), F.explode("visits").alias("cell")).join(sizes, ["label", "cell"])
     load = asks.groupBy("label", "cell").count().withColumn("slices", F.ceil(F.col("count") / slice_rows).cast("int")).drop("count")
+    load = common.written(load, "multiindex-load")
+    load = common.broadcast_if_small(load, load.count())
     asks = asks.join(load, ["label", "cell"]).withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("slices")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # The members of a block are repeated for each slice.
     members = members.join(load, ["label", "cell"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))

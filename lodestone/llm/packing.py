@@ -79,10 +79,10 @@ def place(parts: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 20_000)
     ranked = common.written(ranked.withColumn("sequence_id", F.when(F.col("rank") < F.col("full") * F.col("class"), F.col("base") + F.expr("rank div class"))).drop("prior", "in_class", "base", "bucket"), "packing-ranked")
     whole = ranked.where("sequence_id is not null")
     rest = ranked.where("sequence_id is null").drop("sequence_id")
-    base = totals.agg(F.coalesce(F.sum("full"), F.lit(0)).alias("base"))
+    base = totals.agg(F.coalesce(F.sum("full"), F.lit(0))).first()[0]
     # At most (class - 1) pieces of each class: bounded by the capacity at any size of input.
     fitted = rest.select("class", "rank", "length").groupBy().applyInPandas(lambda df: _first_fit(df, capacity), "class int, rank long, bin long")
-    rest = rest.join(F.broadcast(fitted), ["class", "rank"]).join(F.broadcast(base)).withColumn("sequence_id", F.col("base") + F.col("bin")).drop("bin", "base")
+    rest = rest.join(F.broadcast(fitted), ["class", "rank"]).withColumn("sequence_id", F.lit(base) + F.col("bin")).drop("bin")
     every = whole.unionByName(rest)
     inside = Window.partitionBy("sequence_id").orderBy("class", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return every.withColumn("offset", F.sum("length").over(inside) - F.col("length")).drop("class", "rank", "full")

@@ -96,7 +96,13 @@ def judge(pages: DataFrame, rules=RULES, support: float = 0.01, confidence: floa
     sets = rows.where("rule is null").select("tokens").distinct()
     hits = sets.withColumn("key", F.explode("tokens")).join(index, "key").where(F.size(F.array_except("needs", "tokens")) == 0)
     best = hits.groupBy("tokens").agg(F.max(F.struct("confidence", F.size("needs").alias("n"), "says")).alias("best")).select("tokens", F.col("best.says").alias("says"))
-    out = rows.join(best, "tokens", "left")
+    best = common.written(best, "url-best")
+    # Token sets with a thousandth of the rows or more are a thousand at most: broadcast, so no task gets all rows of one.
+    n = rows.count()
+    hot = rows.groupBy("tokens").agg(F.count("*").alias("n")).where(F.col("n") * 1000 >= n).select("tokens")
+    hot = common.written(hot, "url-hot")
+    some = F.broadcast(hot.join(best, "tokens", "left"))
+    out = rows.join(some, "tokens").unionByName(rows.join(F.broadcast(hot), "tokens", "left_anti").join(best, "tokens", "left"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "says", F.lit("allow")).alias("verdict"))
 
 
