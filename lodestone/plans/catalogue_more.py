@@ -30,6 +30,9 @@ STATEMENTS: dict[str, tuple[str, list[str] | None, str]] = {
     "json_encode": ("SCAN n_nationkey, Json.encode(n_name), Json.encode(n_regionkey), DataDumper(n_name) FROM nation", list("kabc"), "SELECT n_nationkey AS k, '\"' || n_name || '\"' AS a, CAST(n_regionkey AS VARCHAR) AS b, '\"' || n_name || '\"' AS c FROM nation"),
     "json_decode": ("SCAN event_id, tostring(Json.decode(props)), Json.encode(props) FROM events", list("kab"), "SELECT event_id AS k, replace(props, ' ', '') AS a, props AS b FROM events"),
     "wire_encode": ("SCAN r_regionkey, Redisify('SET', r_name, r_regionkey) FROM region", ["k", "w"], "SELECT r_regionkey AS k, '*3' || chr(13) || chr(10) || '$3' || chr(13) || chr(10) || 'SET' || chr(13) || chr(10) || '$' || strlen(r_name) || chr(13) || chr(10) || r_name || chr(13) || chr(10) || '$1' || chr(13) || chr(10) || r_regionkey || chr(13) || chr(10) AS w FROM region"),
+    "filter_number": ("SCAN p_partkey FROM part WHERE math.fmod(p_size, 3) AND p_partkey < 100", None, "SELECT p_partkey FROM part WHERE p_size % 3 <> 0 AND p_partkey < 100"),
+    "filter_pattern": ("SCAN p_partkey FROM part WHERE p_brand like 'Brand#1%' AND p_name is not null AND p_size not in (1, 2, 3)", None, "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#1%' AND p_name IS NOT NULL AND p_size NOT IN (1, 2, 3)"),
+    "project_case": ("SCAN o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END FROM orders", ["k", "c"], "SELECT o_orderkey AS k, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END AS c FROM orders"),
     "count_limit": ("SCAN COUNT(*) FROM lineitem WHERE l_quantity > 10 LIMIT 70 OFFSET 5", None, "SELECT count(*) AS count FROM (SELECT 1 FROM lineitem WHERE l_quantity > 10 LIMIT 70 OFFSET 5)"),
 }
 
@@ -45,6 +48,9 @@ CHANGES: dict[str, tuple[tuple[str, ...], list[str], str]] = {
     "functions_from_source": (("nation",), ["INTERPRET LUA 'function grade(a, b) return (a * 3 + b) % 7 end function twice(a) return grade(a, 1) * 2 end'", "SCAN n_nationkey, grade(n_nationkey, n_regionkey), twice(n_regionkey) FROM nation WHERE grade(n_nationkey, 0) > 2 ORDER BY grade(n_nationkey, 1), n_nationkey LIMIT 9"], "SELECT n_nationkey, (n_nationkey * 3 + n_regionkey) % 7 AS \"grade(n_nationkey,n_regionkey)\", (n_regionkey * 3 + 1) % 7 * 2 AS \"twice(n_regionkey)\" FROM nation WHERE n_nationkey * 3 % 7 > 2 ORDER BY (n_nationkey * 3 + 1) % 7, n_nationkey LIMIT 9"),
     "function_in_update": (("nation",), ["INTERPRET LUA 'function label(a, n) return a .. ''/'' .. tostring(n) end'", "UPDATE nation SET n_name = label(n_name, n_regionkey) WHERE n_regionkey > 1", "SCAN n_nationkey, n_name FROM nation"], "SELECT n_nationkey, CASE WHEN n_regionkey > 1 THEN n_name || '/' || n_regionkey ELSE n_name END AS n_name FROM nation"),
     "function_in_insert": (("events",), ["INTERPRET LUA 'function doc(n) return ''{\"k\":'' .. tostring(n * 2) .. ''}'' end'", "CREATE TABLE d (id INT, lo LUATABLE)", "INSERT INTO d VALUES (1,doc(4)) (2,{'k':9})", "SCAN id, lo.k FROM d"], "SELECT * FROM (VALUES (1::BIGINT, '8'), (2, '9')) AS v(id, \"lo.k\")"),
+    "cursor_ends": (("nation",), ["SCAN n_nationkey FROM nation ORDER BY n_nationkey LIMIT 20 OFFSET c", "SCAN n_nationkey FROM nation ORDER BY n_nationkey LIMIT 20 OFFSET c", "SCAN n_nationkey FROM nation ORDER BY n_nationkey LIMIT 20 OFFSET c"], "SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 20"),
+    "update_key": (("nation",), ["UPDATE nation SET n_nationkey = 70 WHERE n_nationkey = 7", "SCAN n_nationkey, n_name FROM nation"], "SELECT CASE n_nationkey WHEN 7 THEN 70 ELSE n_nationkey END AS n_nationkey, n_name FROM nation"),
+    "update_remainder": (("customer",), ["UPDATE customer SET c_nationkey = c_nationkey % 4 WHERE c_custkey > 5", "UPDATE customer SET c_nationkey = c_nationkey * 3 - c_nationkey % 2 WHERE c_custkey > 5", "SCAN c_custkey, c_nationkey FROM customer"], "SELECT c_custkey, CASE WHEN c_custkey > 5 THEN c_nationkey % 4 * 3 - c_nationkey % 4 % 2 ELSE c_nationkey END AS c_nationkey FROM customer"),
     "message_without_reply": (("region",), ["MESSAGE DELETE FROM region WHERE r_regionkey = 3", "SCAN r_regionkey FROM region"], "SELECT r_regionkey FROM region WHERE r_regionkey <> 3"),
     "update_subquery": (("orders", "customer"), ["UPDATE orders SET o_orderstatus = 'X' WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 4)", "SCAN o_orderkey, o_orderstatus FROM orders"], "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 4) THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders"),
     "delete_or": (("orders",), ["DELETE FROM orders WHERE o_custkey < 50 or o_totalprice > 200000", "SCAN o_orderkey FROM orders"], "SELECT o_orderkey FROM orders WHERE NOT (o_custkey < 50 OR o_totalprice > 200000)"),
@@ -128,13 +134,13 @@ def update_triggers(spark, sf_dir):
     return seen[0].unionByName(seen[1])
 
 
-@query("SELECT * FROM (VALUES (0, 'ConstraintError'), (1, 'ConstraintError'), (2, 'DialectError'), (3, 'DialectError'), (4, 'DialectError'), (5, 'DialectError'), (6, '25')) AS v(n, said)")
+@query("SELECT * FROM (VALUES (0, 'ConstraintError'), (1, 'ConstraintError'), (2, 'DialectError'), (3, 'DialectError'), (4, 'DialectError'), (5, 'DialectError'), (6, 'DialectError'), (7, 'ConstraintError'), (8, 'ConstraintError'), (9, '25')) AS v(n, said)")
 def refusals(spark, sf_dir):
     """Statements that must fail, and the table unchanged by them."""
     e, got = engine(spark, sf_dir, "nation", "region"), []
     e.sql("CREATE UNIQUE INDEX u ON nation (n_name)")
     taken = e.sql("SELECT n_name FROM nation WHERE n_nationkey = 3").first()[0]
-    for s in (f"INSERT INTO nation VALUES (90,'{taken}',1)", "INSERT INTO nation VALUES (3,'Z',1)", "CREATE INDEX i ON nation (none)", "EVICT nation 1", "SELECT n.n_name FROM nation n, region r WHERE n.n_regionkey > r.r_regionkey", "SELECT n.n_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey AND other = 3"):
+    for s in (f"INSERT INTO nation VALUES (90,'{taken}',1)", "INSERT INTO nation VALUES (3,'Z',1)", "CREATE INDEX i ON nation (none)", "EVICT nation 1", "SELECT n.n_name FROM nation n, region r WHERE n.n_regionkey > r.r_regionkey", "SELECT n.n_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey AND other = 3", "UPDATE nation SET n_name = 'same' WHERE n_regionkey = 1", f"UPDATE nation SET n_name = '{taken}' WHERE n_nationkey = 4", "UPDATE nation SET n_nationkey = 5 WHERE n_nationkey = 4"):
         try:
             e.sql(s)
             got.append("taken")

@@ -223,6 +223,8 @@ class Engine:
             df = df.offset(offset)
         if q.limit is not None:
             df = df.limit(q.limit)
+            if q.offset and not q.offset.isdigit() and df.count() < q.limit:
+                self.cursors.pop(q.offset, None)  # the end: the next statement starts anew
         return df.select(*[c.alias(n) for n, c in items])
 
     def _joined_name(self, froms, alias, column) -> str:
@@ -430,6 +432,9 @@ class Engine:
         hit, sets = self._hit(t, q), self._sets(t, m[2])
         if t.pk in sets and hit.limit(2).count() > 1:
             raise DialectError("a primary key changes for one row at a time")
+        unique = [i for i in t.indexes.values() if i.unique and set(i.columns) & sets.keys()]
+        if unique and hit.limit(2).count() > 1:
+            raise DialectError("a column of a unique index changes for one row at a time")
         self._fire(t, "PREUPDATE", hit)
         plain = self._where(t, q.where) if not q.order and q.limit is None else None
         if plain is not None:  # no join: the condition picks the rows in one narrow pass
@@ -437,6 +442,8 @@ class Engine:
             df = dml.update_where(t.df, plain, sets)
         else:
             df, n = dml.update(t.df, hit, t.pk, sets)
+        for i in [*unique, *([Index("primary key", (t.pk,))] if t.pk in sets else [])]:
+            dml.check_unique(df, i)
         if any(when == "POSTUPDATE" for when, _ in t.triggers.values()):
             self._fire(t, "POSTUPDATE", df.join(hit.select(t.pk), t.pk, "left_semi"))
         self._store(t, df)
