@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..sources import rows, session, snapshot
+from ..streaming import feeds
 from .catalogue import engine, ladder, query, table
 from .engine import DialectError, Engine
 
@@ -209,6 +210,19 @@ def csv_lines(spark, sf_dir):
     return rows.csv_fields(lines, 3)
 
 
+@query("WITH w AS (SELECT CAST(user_id AS VARCHAR) AS key, event_type AS value, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS next, max(ts) OVER () AS seen FROM events) SELECT key, value, ts AS at, CASE WHEN next IS NULL OR next >= ts + INTERVAL 600 SECONDS THEN ts + INTERVAL 600 SECONDS END AS gone FROM w WHERE next IS NOT NULL OR ts + INTERVAL 600 SECONDS < seen")
+def stream_of_expiring_keys(spark, sf_dir):
+    """Each event overwrites its user's last one, unless that has expired after 600 seconds."""
+    static = table(spark, sf_dir, "events")
+    out, mark = session.scratch(spark, "expiry"), session.scratch(spark, "expiry-state")
+    path = f"{sf_dir}/events.parquet"
+    source = (path, "*") if session.is_folder(spark, path) else (sf_dir, "events.parquet")
+    stream = spark.readStream.schema(static.schema).option("pathGlobFilter", source[1]).parquet(source[0])
+    told = feeds.expiring(stream.select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), "ts"), 600)
+    told.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(out)
+
+
 # -- graphs ---------------------------------------------------------------------------------------------------------
 
 _LADDER = "e AS (SELECT n_nationkey AS src, n_nationkey // 3 AS dst FROM nation WHERE n_nationkey > 0 UNION SELECT n_nationkey, n_nationkey - 1 FROM nation WHERE n_nationkey > 0)"

@@ -30,3 +30,36 @@ def recency(access: DataFrame, ts: str = "ts", key: str = "key", bucket: str = "
     if access.isStreaming:
         access = access.withWatermark(ts, late)
     return access.groupBy(F.window(ts, bucket), key).agg(F.count("*").alias("hits"), F.max(ts).alias("last"))
+
+
+def expiring(writes: DataFrame, seconds: int, late: str = "0 seconds") -> DataFrame:
+    """(key, value, at, gone) of a stream of writes (key, value, ts): each value with the time of its write, and the time at which
+    it expired, ``seconds`` after it, unless a later write of the key came before.
+
+    A value is told when it is overwritten or when the watermark passes its end. State is one value a key and goes with it.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def work(key, frames, state):
+        import pandas as pd
+
+        out, held = [], state.get if state.exists else None  # (value, microseconds)
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames)).sort_values(["ts", "value"], kind="stable")
+            for value, ts in zip(rows["value"], rows["ts"]):
+                at = ts.value // 1000
+                if held:
+                    out.append((*held, held[1] + seconds * 1_000_000 <= at))
+                held = (value, at)
+            state.update(held)
+            # Whatever the watermark has passed already ends with the next batch.
+            state.setTimeoutTimestamp(max(held[1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        else:
+            out.append((*held, True))
+            state.remove()
+        yield pd.DataFrame({"key": [key[0]] * len(out), "value": pd.Series([o[0] for o in out], dtype="object"), "written": pd.Series([o[1] for o in out], dtype="int64"), "ended": pd.Series([o[2] for o in out], dtype="bool")})
+
+    keyed = writes.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    told = keyed.groupBy("key").applyInPandasWithState(work, "key string, value string, written long, ended boolean", "value string, written long", "append", GroupStateTimeout.EventTimeTimeout)
+    at = F.timestamp_micros("written")
+    return told.select("key", "value", at.alias("at"), F.when(F.col("ended"), at + F.expr(f"interval {seconds} seconds")).alias("gone"))
