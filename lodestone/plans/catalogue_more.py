@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, keyvalue
 from ..sources import rows, session, snapshot
 from ..streaming import feeds
-from .catalogue import engine, ladder, query, table
+from .catalogue import engine, ladder, query, table, tree
 from .engine import DialectError, Engine
 
 STATEMENTS: dict[str, tuple[str, list[str] | None, str]] = {
@@ -296,3 +296,35 @@ def graph_distance(spark, sf_dir):
 def graph_friends(spark, sf_dir):
     got = graph.friends(ring(spark, sf_dir).withColumn("rtype", F.lit("KNOWS")), "KNOWS")
     return got.select("id", F.array_join(F.col("friends").cast("array<string>"), ",").alias("friends"))
+
+
+@query("SELECT * FROM (VALUES (1, 1::BIGINT), (2, 2), (3, 4), (4, 8)) AS v(depth, walks)")
+def graph_without_uniqueness(spark, sf_dir):
+    """Every walk counts: two steps lead on from each vertex."""
+    return graph.bfs(ring(spark, sf_dir), 0, max_depth=4, uniqueness="NONE").groupBy("depth").agg(F.count("*").alias("walks"))
+
+
+@query("SELECT 1 + 2 * count(*) AS n FROM nation")
+def graph_unique_by_step(spark, sf_dir):
+    """Each (parent, type, vertex) once: every edge within reach, and the start."""
+    return graph.bfs(ring(spark, sf_dir), 0, uniqueness="PATH_GLOBAL").agg(F.count("*").alias("n"))
+
+
+@query("WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey // 3 AS dst FROM customer WHERE c_custkey > 0), w(id, depth) AS (SELECT 0::BIGINT, 1 UNION ALL SELECT e.src, w.depth + 1 FROM w JOIN e ON e.dst = w.id WHERE w.id % 5 <> 2 OR w.depth < 3) SELECT * FROM w WHERE id % 2 = 1 OR depth = 2")
+def graph_evaluation(spark, sf_dir):
+    """Rows told and rows gone on from by conditions of their own: include or exclude, continue or prune."""
+    edges = tree(spark, sf_dir)
+    return graph.bfs(edges, 0, expander="INCOMING", emit="id % 2 = 1 or depth = 2", expand="id % 5 <> 2 or depth < 3").select("id", "depth")
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS key, string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) AS items FROM nation GROUP BY n_regionkey")
+def select_into_list(spark, sf_dir):
+    got = engine(spark, sf_dir, "nation").sql("SCAN n_regionkey, n_nationkey FROM nation")
+    lists = keyvalue.from_rows(got, F.col("n_regionkey").cast("string"), F.col("n_nationkey"), "list")
+    return lists.select("key", F.array_join(F.array_sort("items").cast("array<string>"), ",").alias("items"))
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS key, n_name AS field, CAST(n_nationkey AS VARCHAR) AS value FROM nation")
+def select_into_hash(spark, sf_dir):
+    got = engine(spark, sf_dir, "nation").sql("SCAN n_regionkey, n_name, n_nationkey FROM nation")
+    return keyvalue.hgetall(keyvalue.from_rows(got, F.col("n_regionkey").cast("string"), F.struct("n_name", F.col("n_nationkey").cast("string")), "hash"))
