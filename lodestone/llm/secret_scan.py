@@ -263,35 +263,47 @@ def _determinise(nfas: list[tuple[_Parser, int, int]], backwards: bool) -> Autom
     class_of = np.array([numbers[k] for k in key], np.uint8)
     sample = [int(np.flatnonzero(class_of == c)[0]) for c in range(len(numbers))]
 
-    @lru_cache(maxsize=None)
-    def closure(s: int) -> frozenset[int]:
+    words = -(-at // 64)
+
+    def bits(states) -> np.ndarray:
+        out = np.zeros(words, np.uint64)
+        for x in states:
+            out[x >> 6] |= np.uint64(1 << (x & 63))
+        return out
+
+    def closure(s: int) -> set[int]:
         seen, todo = {s}, [s]
         while todo:
             for x in eps.get(todo.pop(), ()):
                 if x not in seen:
                     seen.add(x)
                     todo.append(x)
-        return frozenset(x for x in seen if x in move or x in accept)
-
-    @lru_cache(maxsize=None)
-    def after(s: int) -> tuple[frozenset[int], ...]:
-        """The states reached from one by a byte of each class."""
-        return tuple(frozenset().union(*(closure(d) for m, d in move.get(s, ()) if b in m)) for b in sample)
-
-    first = frozenset().union(*map(closure, begin))
-    base = first if backwards else frozenset()
-    ids, todo, rows = {first: 0}, [first], []
+        return {x for x in seen if x in move or x in accept}
+
+    closed = {d: bits(closure(d)) for ms in move.values() for _, d in ms}
+    # after[s, c]: the set, as bits, that state s goes to by a byte of class c.
+    after = np.zeros((at, len(sample), words), np.uint64)
+    for s, ms in move.items():
+        for m, d in ms:
+            for c, b in enumerate(sample):
+                if b in m:
+                    after[s, c] |= closed[d]
+    first = bits(set().union(*map(closure, begin)))
+    base = first if backwards else np.zeros(words, np.uint64)
+    ids, todo, rows = {first.tobytes(): 0}, [first], []
+    members = lambda now: np.flatnonzero(np.unpackbits(now.view(np.uint8), bitorder="little"))
     for now in todo:
-        steps = [after(s) for s in now]
+        new = np.bitwise_or.reduce(after[members(now)], axis=0, initial=np.uint64(0)) | base
         row = []
+        raw, size = new.tobytes(), 8 * words
         for c in range(len(sample)):
-            new = base.union(*(x[c] for x in steps))
-            if new not in ids:
-                ids[new] = len(ids)
-                todo.append(new)
-            row.append(ids[new])
+            mark = raw[c * size : (c + 1) * size]
+            if mark not in ids:
+                ids[mark] = len(ids)
+                todo.append(new[c])
+            row.append(ids[mark])
         rows.append(row)
-    fires = np.array([sum({accept[s] for s in states if s in accept}) for states in ids], np.uint64)
+    fires = np.array([sum({accept[s] for s in members(now).tolist() if s in accept}) for now in todo], np.uint64)
     return _minimise(np.array(rows), class_of, fires)
 
 
@@ -372,13 +384,15 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Compiled:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: list[str] | None = None) -> DataFrame:
     """(doc_id[, carried columns], found: array of (kind, start, end)) for every row of ``docs``; a narrow map, no shuffle."""
     carry = carry or []
+    # Built once, on the driver: some MB of transitions, whatever the input.
+    shared = docs.sparkSession.sparkContext.broadcast(compile_rules(rules))
 
     def work(batches):
         import pyarrow as pa
 
         common.claim("secrets")
 
-        auto = compile_rules(rules)
+        auto = shared.value
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             texts = common.utf8(batch.column(batch.num_columns - 1))
@@ -399,13 +413,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: list[str] | No
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every span of a secret in ``text`` replaced by ``[kind]``; all columns and rows kept. Overlaps merge."""
+    shared = docs.sparkSession.sparkContext.broadcast(compile_rules(rules))
 
     def work(batches):
         import pyarrow as pa
 
         common.claim("secrets")
 
-        auto = compile_rules(rules)
+        auto = shared.value
         for batch in batches:
             j = batch.schema.get_field_index("text")
             texts = common.utf8(batch.column(j))

@@ -159,15 +159,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int)
 
         common.claim("toxicity")
 
+        cache: dict[bytes, tuple[int, ...]] = {}
+
+        def of(word: bytes) -> tuple[int, ...]:
+            if word not in cache:
+                if len(cache) > 200_000:
+                    cache.clear()
+                cache[word] = tuple(slot(f, bits) for f in features(word))
+            return cache[word]
+
         for batch in batches:
-            slots = [doc_slots(t, bits) for t in common.utf8(batch.column(2))]
+            slots = [sorted({s for w in words(t) for s in of(w)}) for t in common.utf8(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.list_(pa.int32()))], names=["doc_id", "grade", "slots"])
 
-    rows, grades = [], []
-    for r in joined.mapInArrow(work, "doc_id long, grade int, slots array<int>").toLocalIterator():
-        rows.append(np.array(r.slots, np.int32))
-        grades.append(r.grade)
-    return rows, np.array(grades, np.int64)
+    # Few rows of any table, so dealt anew: a table of one row group would leave them to one task.
+    joined = joined.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    # Bounded by ``max_rows``; as Arrow, so the driver holds four bytes a slot.
+    found = joined.mapInArrow(work, "doc_id long, grade int, slots array<int>").toArrow().sort_by("doc_id")
+    slots = found.column("slots").combine_chunks()
+    flat, bounds = slots.flatten().to_numpy(), np.concatenate(([0], np.cumsum(slots.value_lengths().to_numpy())))
+    return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])], found.column("grade").to_numpy().astype(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, bits: int = 22, **options) -> Model:
