@@ -30,7 +30,7 @@ STATEMENTS: dict[str, tuple[str, list[str] | None, str]] = {
     "expression_time": ("SCAN r_regionkey, os.time() > 1000000000, string.len(os.date()) FROM region", list("kab"), "SELECT r_regionkey AS k, true AS a, 19 AS b FROM region"),
     "json_encode": ("SCAN n_nationkey, Json.encode(n_name), Json.encode(n_regionkey), DataDumper(n_name) FROM nation", list("kabc"), "SELECT n_nationkey AS k, '\"' || n_name || '\"' AS a, CAST(n_regionkey AS VARCHAR) AS b, '\"' || n_name || '\"' AS c FROM nation"),
     "json_decode": ("SCAN event_id, tostring(Json.decode(props)), Json.encode(props) FROM events", list("kab"), "SELECT event_id AS k, replace(props, ' ', '') AS a, props AS b FROM events"),
-    "wire_encode": ("SCAN r_regionkey, Redisify('SET', r_name, r_regionkey) FROM region", ["k", "w"], "SELECT r_regionkey AS k, '*3' || chr(13) || chr(10) || '$3' || chr(13) || chr(10) || 'SET' || chr(13) || chr(10) || '$' || strlen(r_name) || chr(13) || chr(10) || r_name || chr(13) || chr(10) || '$1' || chr(13) || chr(10) || r_regionkey || chr(13) || chr(10) AS w FROM region"),
+    "wire_encode": ("SCAN r_regionkey, Wire.encode('SET', r_name, r_regionkey) FROM region", ["k", "w"], "SELECT r_regionkey AS k, '*3' || chr(13) || chr(10) || '$3' || chr(13) || chr(10) || 'SET' || chr(13) || chr(10) || '$' || strlen(r_name) || chr(13) || chr(10) || r_name || chr(13) || chr(10) || '$1' || chr(13) || chr(10) || r_regionkey || chr(13) || chr(10) AS w FROM region"),
     "filter_number": ("SCAN p_partkey FROM part WHERE math.fmod(p_size, 3) AND p_partkey < 100", None, "SELECT p_partkey FROM part WHERE p_size % 3 <> 0 AND p_partkey < 100"),
     "filter_pattern": ("SCAN p_partkey FROM part WHERE p_brand like 'Brand#1%' AND p_name is not null AND p_size not in (1, 2, 3)", None, "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#1%' AND p_name IS NOT NULL AND p_size NOT IN (1, 2, 3)"),
     "project_case": ("SCAN o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END FROM orders", ["k", "c"], "SELECT o_orderkey AS k, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END AS c FROM orders"),
