@@ -1,7 +1,7 @@
 """Property graphs on two DataFrames: vertices (id, ...) and edges (src, dst, rtype, weight).
 
-Breadth-first traversals are loops of joins over the frontier; each step's frontier is checkpointed where the session has a
-checkpoint folder. A depth-first order has no parallel form where vertices may be visited once only: the edges that can be
+Breadth-first traversals of graphs beyond a counted number of edges are loops of joins over the frontier; each step's frontier is
+checkpointed where the session has a checkpoint folder. A depth-first order has no parallel form where vertices may be visited once only: the edges that can be
 reached are found by joins, then one task walks them, up to a counted bound. The start has depth 1, depths are
 inclusive. Siblings are ordered by neighbour, then type.
 """
@@ -33,14 +33,33 @@ def _vertices(hop: DataFrame) -> int:
     return hop.select(F.col("here").alias("id")).union(hop.select("there")).distinct().count()
 
 
-def bfs(edges: DataFrame, start, expander: str = "OUTGOING", rtype: str | None = None, min_depth: int = 1, max_depth: int | None = None, uniqueness: str = "NODE_GLOBAL", emit=None, expand=None) -> DataFrame:
+def bfs(edges: DataFrame, start, expander: str = "OUTGOING", rtype: str | None = None, min_depth: int = 1, max_depth: int | None = None, uniqueness: str = "NODE_GLOBAL", emit=None, expand=None, one_task: int = 200_000) -> DataFrame:
     """(id, depth, path) in breadth-first order. uniqueness: NODE_GLOBAL, PATH_GLOBAL (parent, type, node) or NONE.
 
     max_depth: None goes on to the end; under NONE a cycle has no end, which is an error.
     emit, expand: conditions over (id, depth) for rows to return and to go on from; a row may be returned and not expanded.
+    one_task: up to so many edges, counted first, one task goes from vertex to vertex if each counts once and all are expanded.
     """
     spark = edges.sparkSession
     hop = steps(edges, expander, rtype)
+    if uniqueness == "NODE_GLOBAL" and expand is None and one_task and hop.count() <= one_task:
+
+        def walk(near):
+            level, seen, depth = {start: str(start)}, {start}, 1
+            while level and (max_depth is None or depth <= max_depth):
+                yield from ((x, depth, path) for x, path in level.items() if depth >= min_depth)
+                new: dict = {}
+                for here, path in level.items():
+                    for there, _, _, arrow in near.get(here, []):
+                        if there not in seen:
+                            way = f"{path}{arrow}{there}"
+                            if there not in new or way.encode() < new[there].encode():
+                                new[there] = way
+                seen.update(new)
+                level, depth = new, depth + 1
+
+        out = _in_one_task(hop, f"id {dict(edges.dtypes)['src']}, depth int, path string", walk)
+        return (out if emit is None else out.where(emit)).orderBy("depth", "path")
     front = spark.createDataFrame([(start,)], f"id {dict(edges.dtypes)['src']}").select("id", F.lit(1).alias("depth"), F.col("id").cast("string").alias("path"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("parent"), F.lit("").alias("rtype"))
     seen = front
     # Without uniqueness, a path of more vertices than there are has been through a cycle.
@@ -89,16 +108,17 @@ def _in_one_task(hop: DataFrame, schema: str, walk: Callable) -> DataFrame:
 def dfs(edges: DataFrame, start, expander: str = "OUTGOING", rtype: str | None = None, min_depth: int = 1, max_depth: int | None = None, uniqueness: str = "NODE_GLOBAL", emit: Callable | None = None, expand: Callable | None = None) -> DataFrame:
     """(id, depth, path, place) in depth-first order, ``place`` counting from 0: the walk goes on from a vertex before its siblings.
 
-    emit, expand: Python functions of (id, depth). Edges within reach are collected by :func:`bfs` steps and must not be
-    more than ``ONE_TASK``; a larger graph is an error, never a part of the answer.
+    emit, expand: Python functions of (id, depth). Of a larger graph the edges within reach are found by :func:`bfs` first and
+    must not be more than ``ONE_TASK``; more are an error, never a part of the answer.
     """
     hop = steps(edges, expander, rtype)
     # Without uniqueness and without an end this fails on a cycle.
     reach = "NONE" if uniqueness == "NONE" and expand is None else "NODE_GLOBAL"
-    found = _cut(bfs(edges, start, expander, rtype, max_depth=max_depth, uniqueness=reach).select(F.col("id").alias("here")).distinct())
-    hop = _cut(hop.join(found, "here", "left_semi").select("here", "there", "rtype", "weight", "arrow"))
-    if (n := hop.count()) > ONE_TASK:
-        raise ValueError(f"{n} edges are too many for a depth-first order")
+    if hop.count() > ONE_TASK or reach == "NONE":
+        found = _cut(bfs(edges, start, expander, rtype, max_depth=max_depth, uniqueness=reach).select(F.col("id").alias("here")).distinct())
+        hop = _cut(hop.join(found, "here", "left_semi").select("here", "there", "rtype", "weight", "arrow"))
+        if (n := hop.count()) > ONE_TASK:
+            raise ValueError(f"{n} edges are too many for a depth-first order")
     vertices = None if uniqueness != "NONE" or max_depth is not None else _vertices(hop)
 
     def walk(near):

@@ -21,7 +21,8 @@ def test_shortest_path_has_no_bound(spark):
 
 def test_breadth_first_goes_to_the_end(spark):
     chain = spark.createDataFrame([(i, i + 1, "R", 1.0) for i in range(14)], SCHEMA).repartition(1)
-    assert [r.depth for r in graph.bfs(chain, 0).collect()] == list(range(1, 16))
+    for one_task in (0, 1000):
+        assert [r.depth for r in graph.bfs(chain, 0, one_task=one_task).collect()] == list(range(1, 16))
     assert graph.bfs(chain, 0, uniqueness="NONE").count() == 15
     with pytest.raises(ValueError):
         graph.bfs(spark.createDataFrame([(0, 1, "R", 1.0), (1, 0, "R", 1.0)], SCHEMA), 0, uniqueness="NONE")
@@ -75,3 +76,12 @@ def test_edges_properties_and_persistence(spark, tmp_path):
     assert [(r.nodename, r.path, r.depth) for r in got] == [("Ann", "Ann", 1), ("Bob", "Ann-[KNOWS]->Bob", 2), ("Cy", "Ann-[KNOWS]->Bob<-[KNOWS]-Cy", 3)]
     with pytest.raises(ValueError):
         graph.traverse(people, edges, "BFS", 1, "WIDTH.3")
+
+
+def test_both_ways_of_breadth_first_agree(spark):
+    edges = [(a, b, t, 1.0) for a in range(12) for b, t in ((a * 7 % 12, "R"), ((a + 5) % 12, "S"), (a // 2, "R"))]
+    df = spark.createDataFrame(edges, SCHEMA).repartition(2)
+    for options in ({}, {"expander": "BOTH"}, {"rtype": "R", "max_depth": 3}, {"min_depth": 2, "emit": "id % 2 = 0"}):
+        one, many = (graph.bfs(df, 1, one_task=n, **options).collect() for n in (1000, 0))
+        assert [tuple(r) for r in one] == [tuple(r) for r in many]
+    assert graph.bfs(df, 99).collect()[0].path == graph.bfs(df, 99, one_task=0).collect()[0].path == "99"
