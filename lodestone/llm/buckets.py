@@ -46,7 +46,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return keep
 
 
-def _verified(rows: DataFrame, verify: Callable, limit: int = 8 << 20) -> DataFrame:
+def _verified(rows: DataFrame, verify: Callable, limit: int = 4 << 20) -> DataFrame:
     """(a, b): links in each block. rows: sorted by key, i, j: (key, i, j, role, rep, component, payload)."""
 
     def work(batches):

@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, k: int, perms: int = PERMS, rows: int = ROWS) ->
     return rows_in.mapInArrow(work, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     """Sizes of the intersections of every left set with every right set, as the product of their incidence matrices."""
     out = np.zeros((len(left), len(right)), np.float32)
     sizes = [len(s) for s in (*left, *right)]

@@ -74,17 +74,26 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known.clear()
-        self.flat, self.at = np.array([self.end_id], self.kind), np.array([0, 1])  # chunk 0: the end
+        # Ids of the known chunks and where each begins, in arrays that double; chunk 0 is the end.
+        self.flat, self.at, self.n_chunks = np.zeros(1 << 16, self.kind), np.zeros(1 << 14, np.int64), 1
+        self.flat[0], self.at[1] = self.end_id, 1
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for i in range(0, len(texts), 20_000) for e in self.tok.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
 
     def _add(self, ids: list[list[int]]) -> int:
         """Appends chunks; returns the number of the first."""
-        first = len(self.at) - 1
+        first, begin = self.n_chunks, int(self.at[self.n_chunks])
         n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat = np.concatenate((self.flat, np.fromiter((x for e in ids for x in e), self.kind, int(n.sum()))))
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(n)))
+        ends = begin + np.cumsum(n)
+        last = int(ends[-1]) if len(ends) else begin
+        while len(self.flat) < last:
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while len(self.at) <= first + len(ids):
+            self.at = np.concatenate((self.at, np.zeros_like(self.at)))
+        self.flat[begin:last] = np.fromiter((x for e in ids for x in e), self.kind, last - begin)
+        self.at[first + 1 : first + 1 + len(ids)] = ends
+        self.n_chunks = first + len(ids)
         return first
 
     def _chunks(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +144,7 @@ class Encoder:
         values = texts.buffers()[2]
         data = np.frombuffer(values, np.uint8)[bounds[0] : bounds[-1]] if values is not None else np.zeros(0, np.uint8)
         bounds = bounds - bounds[0]
-        if len(self.at) > self.cache_size or len(self.flat) > 8 * self.cache_size:
+        if self.n_chunks > self.cache_size or self.at[self.n_chunks] > 8 * self.cache_size:
             self._forget()
         some = np.flatnonzero(np.diff(bounds))
         if not len(data):
@@ -175,7 +184,7 @@ class Encoder:
             first = self._add(self._library([text[a:b].decode() for a, b in zip(s, e)]))
             self.known.learn(marks, first)
             number[new] = first + back
-        known, known_at = len(self.flat), len(self.at)
+        known = self.n_chunks
         long = np.flatnonzero(~short)
         if len(long):
             raws = set(head.tolist()) if len(whole) else ()
@@ -192,7 +201,7 @@ class Encoder:
         last = np.cumsum(n)
         ids = self.flat[np.repeat(self.at[order] - (last - n), n) + np.arange(last[-1])]
         if len(long):
-            self.flat, self.at = self.flat[:known], self.at[:known_at]
+            self.n_chunks = known
         return ids, np.concatenate(([0], last[ends]))
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -215,7 +224,7 @@ def encoder(path: str, end_id: int, drops_space: bool) -> Encoder:
     return _ENCODERS[key]
 
 
-def encoded(batches, enc: Encoder, limit: int = 1 << 20):
+def encoded(batches, enc: Encoder, limit: int = 512 << 10):
     """(batch of about ``limit`` bytes of text, ids, bounds) of Arrow batches whose second column is the text."""
     import pyarrow as pa
     import pyarrow.compute as pc

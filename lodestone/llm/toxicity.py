@@ -250,7 +250,7 @@ class _Scorer:
         return np.bincount([d for d, _ in pairs], [self.model.weights[v] for _, v in pairs], len(texts)) if pairs else np.zeros(len(texts))
 
     def __call__(self, texts: list[bytes | None]) -> np.ndarray:
-        return np.concatenate([np.zeros(0), *(self._batch([t or b"" for t in texts[a:b]]) for a, b in common.text_batches(texts, 1 << 20))])
+        return np.concatenate([np.zeros(0), *(self._batch([t or b"" for t in texts[a:b]]) for a, b in common.text_batches(texts, 512 << 10))])
 
 
 def score(docs: DataFrame, model: Model, reject: float = 0.5) -> DataFrame:
