@@ -30,13 +30,17 @@ def literal_rows(spark: SparkSession, rows: list[list[str]], columns: list[str],
                 row[c] = None if v is None else Decimal(v) if types[c].startswith("decimal") else int(v) if types[c] in ("int", "bigint") else float(v) if types[c] in ("float", "double") else str(v)
             elif v.startswith("{"):
                 row[c] = v.replace("'", '"')
-            elif v.startswith("'"):
+            elif v.startswith("'") and types[c] == "string":
                 row[c] = v[1:-1].replace("''", "'")
+            elif v.startswith("'") and not (v := v[1:-1].strip()):
+                continue  # an empty text is no number
             elif types[c].startswith("struct"):
                 hi, _, lo = v.rpartition("|")
                 row[c] = (Decimal(hi or 0), Decimal(lo))
+            elif types[c] != "string" and not re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", v):
+                raise ConstraintError(f"{v} is no value for {c}")
             elif types[c] in ("int", "bigint"):
-                row[c] = int(v)
+                row[c] = int(float(v)) if re.search(r"[.eE]", v) else int(v)
                 if not 0 <= row[c] < 2**32:
                     raise ConstraintError(f"{c} is out of range")
             elif types[c].startswith("decimal"):
