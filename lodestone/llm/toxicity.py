@@ -65,7 +65,7 @@ def distinct_rows(rows: list, keys: int = 4) -> np.ndarray:
     """Numbers of rows of which none is a copy or near-copy of another: rows that share the two least of their rare slots
     under one of ``keys`` hashes count as one. Else the words of one copied document would look like words of its grade."""
     size = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat, row = np.concatenate([np.asarray(r, np.int64) for r in rows]), np.repeat(np.arange(len(rows)), size)
+    flat, row = np.concatenate(rows).astype(np.int32, copy=False), np.repeat(np.arange(len(rows), dtype=np.int32), size)
     _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
     rare = count[inverse] <= max(3, len(rows) // 50)
     flat, row = flat[rare].astype(np.uint64), row[rare]
@@ -101,7 +101,7 @@ def fit_rows(rows: list[list[int]], grades: np.ndarray, bits: int = 22, l1: floa
     if top == 0 or not (grades == 0).any():
         return Model(bits)
     size = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if size.sum() else np.zeros(0, np.int64)
+    flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if size.sum() else np.zeros(0, np.int32)
     vocab, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
     row_of = np.repeat(np.arange(len(rows)), size)
     toxic = np.bincount(inverse, (grades > 0)[row_of].astype(float), len(vocab))
@@ -174,11 +174,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int)
 
     # Few rows of any table, so dealt anew: a table of one row group would leave them to one task.
     joined = joined.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    # Bounded by ``max_rows``; as Arrow, so the driver holds four bytes a slot.
-    found = joined.mapInArrow(work, "doc_id long, grade int, slots array<int>").toArrow().sort_by("doc_id")
-    slots = found.column("slots").combine_chunks()
-    flat, bounds = slots.flatten().to_numpy(), np.concatenate(([0], np.cumsum(slots.value_lengths().to_numpy())))
-    return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])], found.column("grade").to_numpy().astype(np.int64)
+    # Bounded by ``max_rows``; as Arrow, whose memory the rows are views of, so the driver holds four bytes a slot.
+    found = joined.mapInArrow(work, "doc_id long, grade int, slots array<int>").toArrow()
+    rows: list[np.ndarray] = []
+    for chunk in found.column("slots").chunks:
+        bounds = np.concatenate(([0], np.cumsum(chunk.value_lengths().to_numpy())))
+        flat = chunk.flatten().to_numpy()
+        rows += [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
+    return [rows[i] for i in order], found.column("grade").to_numpy().astype(np.int64)[order]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, bits: int = 22, **options) -> Model:
