@@ -260,6 +260,7 @@ def _keys(own: DataFrame, k: int) -> DataFrame:
     """(rep, n, key) of images (rep, n, payload): for each table the entries of a corner and of one of its k neighbours, together.
 
     Plain patches agree in single entries by chance, the more the more images there are; two neighbours rarely do.
+    The lesser entry comes first: two corners that are neighbours of each other say the same twice.
     """
     table = np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -273,8 +274,9 @@ def _keys(own: DataFrame, k: int) -> DataFrame:
                 for load in part.column(2).to_pylist():
                     row = np.frombuffer(load, CORNER)
                     c, d = neighbours(row, k)
+                    a, b = row["bits"][c], row["bits"][d]
                     with np.errstate(over="ignore"):
-                        both = (row["bits"][c].astype(np.uint64) << np.uint64(32) | row["bits"][d]) + table
+                        both = (np.minimum(a, b).astype(np.uint64) << np.uint64(32) | np.maximum(a, b)) + table
                     keys.append(np.unique(common.mix64(both)).view(np.int64))
                 many = [len(x) for x in keys]
                 reps, n = (np.repeat(part.column(c).to_numpy(), many) for c in (0, 1))

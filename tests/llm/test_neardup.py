@@ -202,6 +202,25 @@ def test_halves_and_crops_of_a_tenth(spark):
     assert got == want
 
 
+def test_mutual_neighbours_make_one_key(spark):
+    rng = np.random.default_rng(14)
+    x = picture(rng)
+    rows = []
+    for e in (x, np.ascontiguousarray(x[8:88, 10:92])):
+        places, bits = images.describe(e)
+        rows.append(np.empty(len(places), images.CORNER))
+        rows[-1]["place"], rows[-1]["bits"] = places, bits
+    df = spark.createDataFrame([(i, len(r), r.tobytes()) for i, r in enumerate(rows)], "rep long, n long, payload binary")
+    got = images._keys(df, 3).collect()
+    ordered = [{(t, int(r["bits"][c, t]), int(r["bits"][d, t])) for c, d in zip(*images.neighbours(r, 3)) for t in range(images.TABLES)} for r in rows]
+    either = [{(t, min(a, b), max(a, b)) for t, a, b in pairs} for pairs in ordered]
+    keys = [{r.key for r in got if r.rep == i} for i in (0, 1)]
+    assert all(len(e) < len(o) for e, o in zip(either, ordered))
+    assert len(got) == sum(map(len, either)) and [len(k) for k in keys] == [len(e) for e in either]
+    assert len(keys[0] & keys[1]) == len(either[0] & either[1]) > 0  # whatever two pictures share is still a shared key
+    assert {(t, min(a, b), max(a, b)) for t, a, b in ordered[0] & ordered[1]} <= either[0] & either[1]
+
+
 def test_png_filters():
     import struct
     import zlib
