@@ -29,6 +29,11 @@ def steps(edges: DataFrame, expander: str = "OUTGOING", rtype: str | None = None
     return {"OUTGOING": out, "INCOMING": back, "BOTH": out.unionByName(back)}[expander]
 
 
+def _merged(hop: DataFrame, many: bool) -> DataFrame:
+    """Steps for a loop of joins: of many edges none go through the driver, which a broadcast would send there again in each round."""
+    return hop.hint("merge") if many else hop
+
+
 def _vertices(hop: DataFrame) -> int:
     return hop.select(F.col("here").alias("id")).union(hop.select("there")).distinct().count()
 
@@ -39,10 +44,12 @@ def bfs(edges: DataFrame, start, expander: str = "OUTGOING", rtype: str | None =
     max_depth: None goes on to the end; under NONE a cycle has no end, which is an error.
     emit, expand: conditions over (id, depth) for rows to return and to go on from; a row may be returned and not expanded.
     one_task: up to so many edges, counted first, one task goes from vertex to vertex if each counts once and all are expanded.
+    More are joined by merging in every case.
     """
     spark = edges.sparkSession
     hop = steps(edges, expander, rtype)
-    if uniqueness == "NODE_GLOBAL" and expand is None and one_task and hop.count() <= one_task:
+    many = hop.count() > one_task
+    if uniqueness == "NODE_GLOBAL" and expand is None and one_task and not many:
 
         def walk(near):
             level, seen, depth = {start: str(start)}, {start}, 1
@@ -64,12 +71,13 @@ def bfs(edges: DataFrame, start, expander: str = "OUTGOING", rtype: str | None =
     seen = front
     # Without uniqueness, a path of more vertices than there are has been through a cycle.
     bound = _vertices(hop) if max_depth is None and uniqueness == "NONE" else None
+    hop = _merged(hop, many)
     for depth in count(2) if max_depth is None else range(2, max_depth + 1):
         base = front if expand is None else front.where(expand)
         new = base.select(F.col("id").alias("here"), F.col("path").alias("before")).join(hop, "here").select(F.col("there").alias("id"), F.lit(depth).alias("depth"), F.concat("before", "arrow", F.col("there").cast("string")).alias("path"), F.col("here").alias("parent"), "rtype")
         if uniqueness != "NONE":
             by = ["id"] if uniqueness == "NODE_GLOBAL" else ["parent", "rtype", "id"]
-            new = new.groupBy(*by).agg(F.min(F.struct("path", "depth", *[c for c in ("parent", "rtype") if c not in by])).alias("m")).select(*by, "m.*").select("id", "depth", "path", "parent", "rtype").join(seen.select(*by), by, "left_anti").select("id", "depth", "path", "parent", "rtype")
+            new = new.groupBy(*by).agg(F.min(F.struct("path", "depth", *[c for c in ("parent", "rtype") if c not in by])).alias("m")).select(*by, "m.*").select("id", "depth", "path", "parent", "rtype").join(_merged(seen.select(*by), many), by, "left_anti").select("id", "depth", "path", "parent", "rtype")
         front = _cut(new)
         if front.isEmpty():
             break
@@ -172,10 +180,11 @@ def shortest_path(edges: DataFrame, start, end, expander: str = "OUTGOING", rtyp
     best = spark.createDataFrame([(start,)], f"id {kind}").select("id", F.lit(0.0).alias("cost"), F.col("id").cast("string").alias("path"))
     front = best
     bound = _vertices(hop) if max_hops is None else max_hops
+    hop, many = _merged(hop, n > one_task), n > one_task
     for hops in count(1):
         new = front.join(hop, F.col("id") == F.col("here")).groupBy("there").agg(F.min(F.struct((F.col("cost") + F.col("weight")).alias("cost"), F.concat("path", "arrow", F.col("there").cast("string")).alias("path"))).alias("m")).select(F.col("there").alias("id"), "m.cost", "m.path")
         old = best.groupBy("id").agg(F.min("cost").alias("old"))
-        front = _cut(new.join(old, "id", "left").where("old is null or cost < old").drop("old"))
+        front = _cut(new.join(_merged(old, many), "id", "left").where("old is null or cost < old").drop("old"))
         if front.isEmpty():
             break
         if hops > bound:

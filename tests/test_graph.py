@@ -85,3 +85,19 @@ def test_both_ways_of_breadth_first_agree(spark):
         one, many = (graph.bfs(df, 1, one_task=n, **options).collect() for n in (1000, 0))
         assert [tuple(r) for r in one] == [tuple(r) for r in many]
     assert graph.bfs(df, 99).collect()[0].path == graph.bfs(df, 99, one_task=0).collect()[0].path == "99"
+
+
+def test_loops_of_joins_send_no_edges_through_the_driver(spark, monkeypatch):
+    plans, cut = [], graph._cut
+
+    def recorded(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(graph, "_cut", recorded)
+    edges = spark.createDataFrame([(i, i // 3, "UP", 1.0) for i in range(1, 40)], SCHEMA)
+    assert graph.bfs(edges, 0, "INCOMING", one_task=0).count() == 40
+    assert graph.bfs(edges, 0, "INCOMING", expand="id > -1", one_task=0).count() == 40
+    assert graph.shortest_path(edges, 39, 0, one_task=0).first().cost == 4.0
+    assert len(plans) > 9 and not [p for p in plans if "Broadcast" in p]
